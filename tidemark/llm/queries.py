@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from .language_id import op1_language_id
 from .mixing import OP9_SQL, op9_mixing
+from .packing import op7_packing
+from .toxicity import op2_toxicity
 from .url_filter import OP3_SQL, op3_url_filter
 
-QUERIES = {"op3_url_filter": op3_url_filter, "op9_mixing": op9_mixing}
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_toxicity": op2_toxicity,
+    "op3_url_filter": op3_url_filter,
+    "op7_packing": op7_packing,
+    "op9_mixing": op9_mixing,
+}
 SQL = {"op3_url_filter": OP3_SQL, "op9_mixing": OP9_SQL}
