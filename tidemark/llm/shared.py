@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,6 +53,15 @@ class Workspace:
         out._tidemark_path = path
         return out
 
+    def hinted(self, df: DataFrame, row_bytes: int = 32, most_mb: int = 32) -> DataFrame:
+        """A saved table of few columns, with a broadcast hint if its counted rows are under most_mb; else as it is."""
+        return F.broadcast(df) if df.count() * row_bytes <= most_mb << 20 else df
+
+    def tidy(self) -> None:
+        """Lets Spark remove the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         self._fs.delete(self._path(df._tidemark_path), True)
 
