@@ -1 +1,45 @@
+"""Column functions: ring hashes, sortable encodings, checksums."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def ring_hash(key: Column | str) -> Column:
+    """Position on a ring of 2^32: the md5 of the key, modulo 2^32."""
+    return F.conv(F.substring(F.md5(_text(key)), 25, 8), 16, 10).cast("long")
+
+
+def ring_hash_signed(key: Column | str) -> Column:
+    """Position on a signed 64-bit ring: the first eight bytes of the md5."""
+    return F.conv(F.substring(F.md5(_text(key)), 1, 16), 16, -10).cast("long")
+
+
+def modulo_placement(key: Column | str, nodes: int) -> Column:
+    """The whole 128-bit md5 modulo the number of nodes, in four steps of 32 bits that each fit a long."""
+    digest, out = F.md5(_text(key)), F.lit(0).cast("long")
+    for at in (1, 9, 17, 25):
+        out = (out * F.lit(2**32 % nodes) + F.conv(F.substring(digest, at, 8), 16, 10).cast("long")) % F.lit(nodes)
+    return out
+
+
+def sortable_int(value: Column | str) -> Column:
+    """Sixteen hex digits whose text order is the order of signed 64-bit numbers."""
+    v = F.col(value) if isinstance(value, str) else value
+    return F.lower(F.lpad(F.hex(v.cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
+
+
+def row_encoding(*fields: Column | str) -> Column:
+    """Fields as text, each after its length and a colon."""
+    parts = [F.coalesce((F.col(f) if isinstance(f, str) else f).cast("string"), F.lit("")) for f in fields]
+    return F.concat(*[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts])
+
+
+def checksum(text: Column | str) -> Column:
+    """CRC32 of the UTF-8 bytes."""
+    return F.crc32(F.encode(_text(text), "utf-8"))
+
+
+def _text(c: Column | str) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("string")

@@ -1 +1 @@
-
+"""Operators as DataFrame compositions: versions, placement, observability, cluster state, access."""

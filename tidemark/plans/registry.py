@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import analytics, select, versioned
+
+QUERIES = {**select.QUERIES, **versioned.QUERIES, **analytics.QUERIES}
+SQL = {**select.SQL, **versioned.SQL, **analytics.SQL}
