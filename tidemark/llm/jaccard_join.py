@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -10,17 +12,21 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Workspace, collapse, components, table
+from .shared import Workspace, components, table
 
-#: Parts of a group of the second level; signatures are all but one of them.
-PARTS = 2
+#: Up to this many differing elements, signatures are subsets of SUBSET parts; above, single parts with at least LEAST elements.
+SMALL, SUBSET, LEAST = 3, 3, 2
+#: Bits of the sketch that bounds how much two sets differ.
+BITS = 1024
+#: Growth of set sizes from one size code to the next.
+STEP = 1.05
 #: Signatures (of 16 bytes, sorted in memory) that one range aims at, and ranges for each shuffle partition at least.
 RANGE_ROWS, RANGES_PER_PARTITION = 2_000_000, 8
 #: Signatures that a task holds before it sends them on, in ranges.
-HELD = 1 << 21
+HELD = 1 << 20
 _U = np.uint64
 
 
@@ -58,7 +64,9 @@ class Bands:
 
     def __init__(self, percent: int):
         self.percent = percent
-        self.low, self.high = [1], [max(1, 100 // percent)]
+        self.low, self.high, self.spares = [1], [max(1, 100 // percent)], {}
+        #: Size codes of similar sets differ by this at most.
+        self.codes = math.ceil(math.log(100 / percent) / math.log(STEP))
 
     def of(self, size: int) -> int:
         while self.high[-1] < size:
@@ -69,35 +77,79 @@ class Bands:
     def bound(self, band: int) -> int:
         return self.high[band] * (100 - self.percent) // self.percent
 
-
-def signatures(elements: np.ndarray, bands: Bands, parts: int = PARTS) -> np.ndarray:
+    def spare(self, band: int) -> int:
+        """Parts beyond bound + 1: about as many as have under LEAST elements in a set of the band's middle, but at most 0.6 (bound + 1)."""
+        if band not in self.spares:
+            k, t = self.bound(band) + 1, 0
+            while t < 0.6 * k:
+                mean = 0.9 * self.high[band] / (k + t)
+                weak = (k + t) * math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(LEAST))
+                if weak + 1.5 * math.sqrt(weak) <= t:
+                    break
+                t += 1
+            self.spares[band] = t
+        return self.spares[band]
+
+
+def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
     """64-bit signatures; any two different sets that are similar enough have one in common.
 
-    In an instance with a bound of k, the feature domain is dealt by hash into (k + 1) / 2 groups, rounded up, of
-    `parts` parts. As the sets differ in at most k elements, they differ in at most one within some group; so of
-    that group's subsets that leave out one part, one is equal in both. A signature hashes (instance, group, part
-    left out, the elements in the others). Where k is 0 only equal sets are similar, which need no signature.
+    In an instance with a bound of k, the feature domain is dealt by hash into parts, and the sets differ in at most k of them.
+
+    For k up to SMALL there are k + SUBSET parts, so SUBSET parts at least are equal: all subsets of SUBSET parts are enumerated.
+
+    Above, there are k + 1 + spare parts, so more than `spare` of them are equal. A set with at most `spare` parts of under LEAST
+    elements leaves those out: some part that is equal in both sets isn't one of them, as the set hasn't so many.
+    Else it keeps them. Hence of two similar sets both have the signature of an equal part that isn't small, or both keep
+    their small ones. Small parts agree by chance far more often than others, so few are wanted.
+
+    Where k is 0 only equal sets are similar, which need no signature.
     """
     out = []
     band = bands.of(len(elements))
     for instance in (band, band - 1):
         if instance < 0 or not (k := bands.bound(instance)):
             continue
-        groups = (k + 2) // 2
+        small = k <= SMALL
+        parts = k + SUBSET if small else k + 1 + bands.spare(instance)
         seed = _U((instance + 1) * 0xD6E8FEB86659FD93 % 2**64)
-        cell = (mix(elements ^ seed) % _U(groups * parts)).astype(np.int64)
-        held = np.zeros(groups * parts, np.uint64)
+        cell = (mix(elements ^ seed) % _U(parts)).astype(np.int64)
+        held = np.zeros(parts, np.uint64)
         np.add.at(held, cell, mix(elements + seed))
-        by_group = held.reshape(groups, parts)
-        rest = by_group.sum(axis=1, dtype=np.uint64)[:, None] - by_group
-        place = np.arange(groups * parts, dtype=np.uint64).reshape(groups, parts)
-        out.append(mix(rest ^ mix(place + seed)).ravel())
+        held = mix(held ^ mix(np.arange(parts, dtype=np.uint64) + seed))
+        if small:
+            chosen = np.array(list(itertools.combinations(range(parts), SUBSET)))
+            out.append(mix(held[chosen].sum(axis=1, dtype=np.uint64)))
+        else:
+            weak = np.bincount(cell, minlength=parts) < LEAST
+            out.append(held[~weak] if weak.sum() <= parts - k - 1 else held)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def size_code(size: int) -> int:
+    return min(255, int(math.log(size) / math.log(STEP) + 1e-9))
+
+
 def node_of(elements: np.ndarray) -> int:
-    """A signed 64-bit name of a set: equal sets have equal names."""
-    return int.from_bytes(hashlib.blake2b(elements.tobytes(), digest_size=8).digest(), "little", signed=True)
+    """A signed 64-bit name of a set: its size code and 56 bits of a hash. Equal sets have equal names."""
+    name = size_code(len(elements)) << 56 | int.from_bytes(hashlib.blake2b(elements.tobytes(), digest_size=7).digest(), "little")
+    return name - (1 << 64 if name >> 63 else 0)
+
+
+def sketch(elements: np.ndarray) -> list[int]:
+    """Parities of the numbers of elements in BITS buckets. Two sets differ in at least as many elements as their sketches in bits."""
+    odd = np.bincount((elements >> _U(20)).astype(np.int64) & (BITS - 1), minlength=BITS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64).tolist()
+
+
+def may_be_similar(percent: int, a: str, b: str) -> Column:
+    """Whether sets with columns a_bits, a_size, b_bits and b_size can be similar, by sizes and sketches.
+
+    Similar sets have (100 + percent) * difference <= (100 - percent) * sum of sizes.
+    """
+    apart = sum((F.bit_count(F.col(f"{a}_bits")[i].bitwiseXOR(F.col(f"{b}_bits")[i])) for i in range(BITS // 64)), F.lit(0))
+    x, y = F.col(f"{a}_size"), F.col(f"{b}_size")
+    return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & ((100 + percent) * apart <= (100 - percent) * (x + y))
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -110,105 +162,115 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _chains(sig: np.ndarray, node: np.ndarray, codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of signatures and nodes, sorted, each once; and for each whether it continues the one before it.
+
+    The nodes of a signature stand in order of size. Those too far apart in size to be similar begin a new chain.
+    The last array marks the first row of each signature and size code.
+    """
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    new = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))[: len(sig)]
+    sig, node = sig[new], node[new]
+    code = (node >> _U(56)).astype(np.int64)
+    same = np.append(False, sig[1:] == sig[:-1])[: len(sig)]
+    near = same & (np.diff(code, prepend=0) <= codes)
+    return sig, node, near, ~same | (np.diff(code, prepend=-1) != 0)
+
+
+NAMES = ["kind", "part", "id", "a", "b", "sig", "bits", "data"]
+SCANNED = "kind int, part int, id long, a long, b long, sig long, bits array<long>, data binary"
+
+
+def _rows(kind: int, part: np.ndarray, **columns: object) -> pa.RecordBatch:
+    types = {"id": pa.int64(), "a": pa.int64(), "b": pa.int64(), "sig": pa.int64(), "bits": pa.list_(pa.int64()), "data": pa.binary()}
+    n = len(part)
+    rest = [pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in types.items()]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(part.astype(np.int32)), *rest], NAMES)
+
+
+def _links(sig: np.ndarray, node: np.ndarray, near: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(near)
+    return _rows(1, part[at], a=node[at - 1].view(np.int64), b=node[at].view(np.int64), sig=sig[at].view(np.int64))
+
+
 def _scan(n: int, percent: int, ranges: int):
     """Documents -> rows of sets, links of a task's own signatures, and signatures packed by range.
 
-    kind 0: (id, a = node, size); kind 1: (a, b, sig), b has the signature sig as a, the first that had it; kind 2: (part = range of
-    signatures, data = sorted signatures and their nodes). A signature that many sets of a task share is sent on once.
+    kind 0: (id, a = node, b = size, bits); kind 1: (a, b, sig), neighbours in size that share a signature; kind 2: (part = range of
+    signatures, data = signatures and their nodes). Of many sets of a task with one signature, one of each size code is sent on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
-        width = (1 << 64) // ranges + 1
-
-        def rows(kind, part, ids, a, b, sig, data):
-            count = len(kind)
-            none = lambda x, t: pa.nulls(count, t) if x is None else pa.array(x, t)
-            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(part, pa.int32()), none(ids, pa.int64()), none(a, pa.int64()), none(b, pa.int64()), none(sig, pa.int64()), none(data, pa.binary())], ["kind", "part", "id", "a", "b", "sig", "data"])
-
+        width = _U((1 << 64) // ranges + 1)
         held, nodes, count, known = [], [], 0, set()
 
         def flush():
             nonlocal held, nodes, count
             if not held:
                 return
-            sig, node = np.concatenate(held), np.concatenate(nodes)
+            sig, node, near, first = _chains(np.concatenate(held), np.concatenate(nodes), bands.codes)
             held, nodes, count = [], [], 0
             known.clear()
-            order = np.lexsort((node, sig))
-            sig, node = sig[order], node[order]
-            first = np.append(True, sig[1:] != sig[:-1])
-            lead = node[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
-            own = ~first & (lead != node)
-            if own.any():
-                s = sig[own].view(np.int64)
-                yield rows(np.ones(len(s), np.int32), (sig[own] // _U(width)).astype(np.int32), None, lead[own], node[own], s, None)
+            if near.any():
+                yield _links(sig, node, near, sig // width)
             sig, node = sig[first], node[first]
-            cut = np.flatnonzero(np.append(True, (sig[1:] // _U(width)) != (sig[:-1] // _U(width))))
-            ends = np.append(cut[1:], len(sig))
-            data = [sig[i:j].tobytes() + node[i:j].tobytes() for i, j in zip(cut, ends, strict=True)]
-            yield rows(np.full(len(cut), 2, np.int32), (sig[cut] // _U(width)).astype(np.int32), None, None, None, None, data)
+            part = (sig // width).astype(np.int64)
+            cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            data = [sig[i:j].tobytes() + node[i:j].tobytes() for i, j in zip(cut, np.append(cut[1:], len(sig)), strict=True)]
+            yield _rows(2, part[cut], data=data)
 
         for batch in batches:
-            ids, named, sizes = batch.column(0).to_pylist(), [], []
+            ids, named, sizes, bits = batch.column(0).to_pylist(), [], [], []
             for text in batch.column(1).to_pylist():
                 e = shingles(text, n)
-                named.append(node_of(e) if len(e) else None)
                 sizes.append(len(e))
+                named.append(node_of(e) if len(e) else None)
+                bits.append(sketch(e) if len(e) else None)
                 if len(e) and named[-1] not in known:
                     known.add(named[-1])
                     s = signatures(e, bands)
                     if len(s):
                         held.append(s)
-                        nodes.append(np.full(len(s), named[-1], np.int64))
+                        nodes.append(np.full(len(s), named[-1], np.int64).view(np.uint64))
                         count += len(s)
                 if count >= HELD:
                     yield from flush()
-            zero = np.zeros(len(ids), np.int32)
-            yield rows(zero, (np.arange(len(ids)) % ranges).astype(np.int32), ids, named, sizes, None, None)
+            yield _rows(0, np.arange(len(ids)) % ranges, id=ids, a=named, b=sizes, bits=bits)
         yield from flush()
 
     return run
 
 
-SCANNED = "kind int, part int, id long, a long, b long, sig long, data binary"
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of _scan, a range after the other -> the same without kind 2; equal signatures of a range become links."""
-    names = ["kind", "part", "id", "a", "b", "sig", "data"]
-    at, held = None, []
-
-    def close():
-        if not held:
-            return None
-        sig = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 16) for x in held])
-        node = np.concatenate([np.frombuffer(x, np.int64, len(x) // 16, len(x) // 2) for x in held])
-        order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
-        first = np.append(True, sig[1:] != sig[:-1])
-        lead = node[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
-        # The first, and the neighbour before: a star alone may miss, where the first isn't similar to the others.
-        near = np.append(node[:1], node[:-1])
-        star, chain = ~first & (lead != node), ~first & (near != node) & (near != lead)
-        a, b, s = np.concatenate([lead[star], near[chain]]), np.concatenate([node[star], node[chain]]), np.concatenate([sig[star], sig[chain]]).view(np.int64)
-        if not len(a):
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(a), np.int32)), pa.array(np.full(len(a), at, np.int32)), pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), pa.array(s), pa.nulls(len(a), pa.binary())], names)
-
-    for batch in batches:
-        kinds = batch.column(0).to_numpy()
-        if (kinds < 2).any():
-            yield batch.filter(pa.array(kinds < 2))
-        packed = batch.filter(pa.array(kinds == 2))
-        for part, data in zip(packed.column(1).to_pylist(), packed.column(6).to_pylist(), strict=True):
-            if part != at:
-                if (out := close()) is not None:
-                    yield out
-                at, held = part, []
-            held.append(data)
-    if (out := close()) is not None:
-        yield out
+def _meet(percent: int):
+    """Rows of _scan, a range after the other -> the same without kind 2; what shares a signature in a range is linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Bands(percent).codes
+        at, held = None, []
+
+        def close():
+            sig = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 16) for x in held])
+            node = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 16, len(x) // 2) for x in held])
+            sig, node, near, _ = _chains(sig, node, codes)
+            return _links(sig, node, near, np.full(len(sig), at))
+
+        for batch in batches:
+            kinds = batch.column(0).to_numpy()
+            if (kinds < 2).any():
+                yield batch.filter(pa.array(kinds < 2))
+            packed = batch.filter(pa.array(kinds == 2))
+            for part, data in zip(packed.column(1).to_pylist(), packed.column(7).to_pylist(), strict=True):
+                if part != at:
+                    if held:
+                        yield close()
+                    at, held = part, []
+                held.append(data)
+        if held:
+            yield close()
+
+    return run
 
 
 def _verify(n: int, percent: int):
@@ -240,19 +302,6 @@ def _pack(n: int):
     return run
 
 
-def _again(n: int, percent: int):
-    """Texts of nodes -> all their signatures."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip, bands = zstandard.ZstdDecompressor(), Bands(percent)
-        for x in batches:
-            for node, blob in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
-                s = signatures(shingles(unzip.decompress(blob).decode("utf-8", "surrogatepass"), n), bands).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), node, np.int64))], ["sig", "node"])
-
-    return run
-
-
 def join_groups(ws: Workspace, docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for each row of docs.
 
@@ -263,10 +312,11 @@ def join_groups(ws: Workspace, docs: DataFrame, n: int, percent: int, id_col: st
     component unless it stands alone. Only the two columns are read. An empty table gives no rows.
 
     One pass over the texts makes the nodes and their signatures, in packed ranges: only there are signatures
-    shuffled, as bytes, and a signature that many sets of a task have is sent once. Equal signatures give a star and a chain of candidates, not all
-    pairs; exact similarity over the whole sets decides. Where a candidate fails and its ends aren't joined by other
-    links, all pairs of its signature between different components are tried too, so no link between components is
-    lost. No group is held by a task: candidates, texts and labels meet in joins that adaptive execution can split.
+    shuffled, as bytes, and of many sets of a task with one signature and size one is sent. Sets that share a signature are candidates in chains in order
+    of size, not in all pairs; sizes and sketches drop most that aren't similar, and exact similarity of the whole sets
+    decides. Where a candidate fails and its ends aren't joined by other links, the other pairs of
+    its signature that sizes and sketches allow are tried too, so no link between components is lost. No group is held
+    by a task: candidates, texts and labels meet in joins that adaptive execution can split.
     """
     spark = ws.spark
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -275,38 +325,43 @@ def join_groups(ws: Workspace, docs: DataFrame, n: int, percent: int, id_col: st
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     ranges = max(RANGES_PER_PARTITION * partitions, int(chars / 6 * 2.2 * (100 - percent) / percent / RANGE_ROWS))
     scanned = rows.mapInArrow(_scan(n, percent, ranges), SCANNED)
-    met = ws.save(scanned.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_meet, SCANNED), "met")
+    met = ws.save(scanned.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_meet(percent), SCANNED), "met")
+    del scanned
     ws.tidy()
-    sets = met.where("kind = 0").select("id", F.col("a").alias("node"), F.col("b").cast("long").alias("size"))
+    sets = met.where("kind = 0").select("id", F.col("a").alias("node"), F.col("b").cast("long").alias("size"), "bits")
     tried = met.where("kind = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sig")
-    classes = ws.save(sets.where("node is not null").groupBy("node").agg(F.min("id").alias("first")), "classes")
-
+    classes = ws.save(sets.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.any_value("size").alias("size"), F.any_value("bits").alias("bits")), "classes")
     candidates = ws.save(tried.select("a", "b").distinct(), "candidates")
-    wanted = candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))).distinct()
-    chosen = ws.save(classes.where("first is not null").join(wanted, "node").select("node", F.col("first").alias("id")), "chosen")
-    texts = rows.join(ws.hinted(chosen), "id").select("node", "text")
-    blobs = ws.save(texts.mapInArrow(_pack(n), "node long, blob binary").dropDuplicates(["node"]), "texts")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        side = lambda c: blobs.select(F.col("node").alias(c), F.col("blob").alias(f"{c}_blob"))
-        both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_blob", "b_blob")
-        return ws.save(both.mapInArrow(_verify(n, percent), "a long, b long, good boolean"), name)
-
-    judged = verified(candidates, "judged")
-    links = judged.where("good").select("a", "b")
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("bits").alias(f"{c}_bits"))
+
+    def verified(close: DataFrame, name: str) -> DataFrame:
+        """Those of the pairs that are similar: texts are fetched for their nodes alone."""
+        wanted = close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct()
+        chosen = ws.save(classes.where("first is not null").join(wanted, "node").select("node", F.col("first").alias("id")), f"{name}-nodes")
+        texts = rows.join(ws.hinted(chosen), "id").select("node", "text")
+        blobs = ws.save(texts.mapInArrow(_pack(n), "node long, blob binary").dropDuplicates(["node"]), f"{name}-texts")
+        blob = lambda c: blobs.select(F.col("node").alias(c), F.col("blob").alias(f"{c}_blob"))
+        both = close.join(blob("b"), "b").join(blob("a"), "a").select("a", "b", "a_blob", "b_blob")
+        return ws.save(both.mapInArrow(_verify(n, percent), "a long, b long, good boolean").where("good").select("a", "b"), name)
+
+    close = candidates.join(side("b"), "b").join(side("a"), "a").where(may_be_similar(percent, "a", "b")).select("a", "b")
+    links = verified(ws.save(close, "close"), "links")
     label = components(ws, links)
-    failed = judged.where("not good").select("a", "b")
-    if not failed.isEmpty():
-        named = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
-        apart = failed.join(named("a"), "a", "left").join(named("b"), "b", "left").where("coalesce(a_c, a) <> coalesce(b_c, b)").select("a", "b")
-        open_sigs = ws.save(tried.join(apart, ["a", "b"]).select("sig").distinct(), "open")
-        ends = label.select("node", "component")
-        members = blobs.mapInArrow(_again(n, percent), "sig long, node long").join(open_sigs, "sig").distinct()
-        members = ws.save(members.join(ends, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c")), "members")
-        other = members.select("sig", F.col("node").alias("other"), F.col("c").alias("other_c"))
-        pairs = members.join(other, "sig").where("node < other and c <> other_c").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-        more = verified(ws.save(pairs.join(failed, ["a", "b"], "left_anti"), "apart"), "judged-again").where("good").select("a", "b")
-        if not more.isEmpty():
+    named = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
+    apart = candidates.join(named("a"), "a", "left").join(named("b"), "b", "left").where("coalesce(a_c, a) <> coalesce(b_c, b)").select("a", "b")
+    # A signature of one candidate has no other pairs.
+    several = tried.groupBy("sig").count().where("count > 1").select("sig")
+    unsettled = ws.save(tried.join(apart, ["a", "b"]).select("sig").distinct().join(several, "sig"), "open")
+    if not unsettled.isEmpty():
+        ends = tried.join(unsettled, "sig")
+        members = ends.select("sig", F.col("a").alias("x")).union(ends.select("sig", F.col("b").alias("x"))).distinct()
+        full = members.join(side("x"), "x").join(named("x"), "x", "left").withColumn("x_c", F.coalesce("x_c", "x"))
+        full = ws.save(full, "members")
+        other = full.select(F.col("sig").alias("y_sig"), *[F.col(c).alias("y" + c[1:]) for c in full.columns if c != "sig"])
+        pairs = full.join(other, (F.col("sig") == F.col("y_sig")) & (F.col("x") < F.col("y")) & (F.col("x_c") != F.col("y_c")) & may_be_similar(percent, "x", "y"))
+        pairs = pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().join(candidates, ["a", "b"], "left_anti")
+        more = ws.save(pairs, "close-again")
+        if not more.isEmpty() and not (more := verified(more, "links-again")).isEmpty():
             label = components(ws, links.union(more))
     # The smallest id of each component, then of each node.
     of_node = classes.join(label, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
