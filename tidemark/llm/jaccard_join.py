@@ -165,10 +165,12 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _chains(sig: np.ndarray, node: np.ndarray, codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows of signatures and nodes, sorted, each once; and for each whether it continues the one before it.
 
-    The nodes of a signature stand in order of size. Those too far apart in size to be similar begin a new chain.
-    The last array marks the first row of each signature and size code.
+    The nodes of a signature stand in order of size, and nodes of one size in an order of this signature alone: so the
+    members of a large group meet new neighbours in each signature that they share, and links soon join the group.
+    Those too far apart in size to be similar begin a new chain. The last array marks the first row of each signature
+    and size code.
     """
-    order = np.lexsort((node, sig))
+    order = np.lexsort((node, mix(node ^ sig), node >> _U(56), sig))
     sig, node = sig[order], node[order]
     new = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))[: len(sig)]
     sig, node = sig[new], node[new]
