@@ -304,6 +304,18 @@ def _pack(n: int):
     return run
 
 
+def _at(label: DataFrame, name: str) -> DataFrame:
+    """Components by a column of nodes."""
+    return label.select(F.col("node").alias(name), F.col("component").alias(f"{name}_c"))
+
+
+def _few(pairs: DataFrame) -> DataFrame:
+    """Of each node's pairs the two with the least and greatest hash, on either side."""
+    h = F.xxhash64("a", "b")
+    ends = [pairs.groupBy(x).agg(F.array(F.min_by(y, h), F.max_by(y, h)).alias("o")).select(F.col(x), F.explode("o").alias(y)).select("a", "b") for x, y in (("a", "b"), ("b", "a"))]
+    return ends[0].union(ends[1]).distinct()
+
+
 def join_groups(ws: Workspace, docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for each row of docs.
 
@@ -336,35 +348,49 @@ def join_groups(ws: Workspace, docs: DataFrame, n: int, percent: int, id_col: st
     candidates = ws.save(tried.select("a", "b").distinct(), "candidates")
     side = lambda c: classes.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("bits").alias(f"{c}_bits"))
 
-    def verified(close: DataFrame, name: str) -> DataFrame:
-        """Those of the pairs that are similar: texts are fetched for their nodes alone."""
-        wanted = close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct()
-        chosen = ws.save(classes.where("first is not null").join(wanted, "node").select("node", F.col("first").alias("id")), f"{name}-nodes")
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        """Compressed texts of the pairs' nodes, one each."""
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        chosen = ws.save(classes.where("first is not null").join(wanted, "node").select("node", F.col("first").alias("id")), "chosen")
         texts = rows.join(ws.hinted(chosen), "id").select("node", "text")
-        blobs = ws.save(texts.mapInArrow(_pack(n), "node long, blob binary").dropDuplicates(["node"]), f"{name}-texts")
+        return ws.save(texts.mapInArrow(_pack(n), "node long, blob binary").dropDuplicates(["node"]), "texts")
+
+    def settle(close: DataFrame, label: DataFrame) -> DataFrame:
+        """Components after all pairs that join two of them have been compared, as far as they're similar.
+
+        A large group has far more pairs than it takes to join it. So twice, each node tries a few of its pairs that
+        lead out of its component; then all pairs that still do are tried.
+        """
+        blobs = texts_of(close)
         blob = lambda c: blobs.select(F.col("node").alias(c), F.col("blob").alias(f"{c}_blob"))
-        both = close.join(blob("b"), "b").join(blob("a"), "a").select("a", "b", "a_blob", "b_blob")
-        return ws.save(both.mapInArrow(_verify(n, percent), "a long, b long, good boolean").where("good").select("a", "b"), name)
+        for few in (True, True, False):
+            out = close.join(_at(label, "a"), "a", "left").join(_at(label, "b"), "b", "left").where("coalesce(a_c, a) <> coalesce(b_c, b)").select("a", "b")
+            tried = ws.save(_few(out) if few else out, "compared")
+            if tried.isEmpty():
+                break
+            both = tried.join(blob("b"), "b").join(blob("a"), "a").select("a", "b", "a_blob", "b_blob")
+            good = ws.save(both.mapInArrow(_verify(n, percent), "a long, b long, good boolean").where("good").select("a", "b"), "links")
+            if not good.isEmpty():
+                label = components(ws, label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(good))
+        return label
 
     close = candidates.join(side("b"), "b").join(side("a"), "a").where(may_be_similar(percent, "a", "b")).select("a", "b")
-    links = verified(ws.save(close, "close"), "links")
-    label = components(ws, links)
-    named = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
-    apart = candidates.join(named("a"), "a", "left").join(named("b"), "b", "left").where("coalesce(a_c, a) <> coalesce(b_c, b)").select("a", "b")
+    label = settle(ws.save(close, "close"), spark.createDataFrame([], "node long, component long"))
+    apart = candidates.join(_at(label, "a"), "a", "left").join(_at(label, "b"), "b", "left").where("coalesce(a_c, a) <> coalesce(b_c, b)").select("a", "b")
     # A signature of one candidate has no other pairs.
     several = tried.groupBy("sig").count().where("count > 1").select("sig")
     unsettled = ws.save(tried.join(apart, ["a", "b"]).select("sig").distinct().join(several, "sig"), "open")
     if not unsettled.isEmpty():
         ends = tried.join(unsettled, "sig")
         members = ends.select("sig", F.col("a").alias("x")).union(ends.select("sig", F.col("b").alias("x"))).distinct()
-        full = members.join(side("x"), "x").join(named("x"), "x", "left").withColumn("x_c", F.coalesce("x_c", "x"))
+        full = members.join(side("x"), "x").join(_at(label, "x"), "x", "left").withColumn("x_c", F.coalesce("x_c", "x"))
         full = ws.save(full, "members")
         other = full.select(F.col("sig").alias("y_sig"), *[F.col(c).alias("y" + c[1:]) for c in full.columns if c != "sig"])
         pairs = full.join(other, (F.col("sig") == F.col("y_sig")) & (F.col("x") < F.col("y")) & (F.col("x_c") != F.col("y_c")) & may_be_similar(percent, "x", "y"))
         pairs = pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().join(candidates, ["a", "b"], "left_anti")
         more = ws.save(pairs, "close-again")
-        if not more.isEmpty() and not (more := verified(more, "links-again")).isEmpty():
-            label = components(ws, links.union(more))
+        if not more.isEmpty():
+            label = settle(more, label)
     # The smallest id of each component, then of each node.
     of_node = classes.join(label, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     least = ws.save(of_node.groupBy("component").agg(F.min("first").alias("least")), "least")
