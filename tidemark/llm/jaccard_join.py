@@ -19,8 +19,10 @@ from .shared import Workspace, components, table
 
 #: Up to this many differing elements, signatures are subsets of SUBSET parts; above, single parts with at least LEAST elements.
 SMALL, SUBSET, LEAST = 3, 3, 2
-#: Bits of the sketch that bounds how much two sets differ.
+#: Bits, at least, of the sketch that bounds how much two sets differ; larger sets have about as many as elements.
 BITS = 1024
+#: Sets of one signature that are compared in all pairs.
+FEW = 8
 #: Growth of set sizes from one size code to the next.
 STEP = 1.05
 #: Signatures (of 16 bytes, sorted in memory) that one range aims at, and ranges for each shuffle partition at least.
@@ -98,10 +100,10 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
 
     For k up to SMALL there are k + SUBSET parts, so SUBSET parts at least are equal: all subsets of SUBSET parts are enumerated.
 
-    Above, there are k + 1 + spare parts, so more than `spare` of them are equal. A set with at most `spare` parts of under LEAST
-    elements leaves those out: some part that is equal in both sets isn't one of them, as the set hasn't so many.
-    Else it keeps them. Hence of two similar sets both have the signature of an equal part that isn't small, or both keep
-    their small ones. Small parts agree by chance far more often than others, so few are wanted.
+    Above, there are k + 1 + spare parts, so more than `spare` of them are equal. A set leaves out its parts of under c
+    elements, for the largest c up to LEAST that leaves out at most `spare` parts. Of two similar sets let the first have the larger c:
+    some equal part isn't among those that it leaves out, so it has c elements or more, and the second keeps it too. Small
+    parts agree by chance far more often than others, so few are wanted.
 
     Where k is 0 only equal sets are similar, which need no signature.
     """
@@ -121,8 +123,9 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
             chosen = np.array(list(itertools.combinations(range(parts), SUBSET)))
             out.append(mix(held[chosen].sum(axis=1, dtype=np.uint64)))
         else:
-            weak = np.bincount(cell, minlength=parts) < LEAST
-            out.append(held[~weak] if weak.sum() <= parts - k - 1 else held)
+            counts = np.bincount(cell, minlength=parts)
+            least = next(c for c in range(LEAST, -1, -1) if (counts < c).sum() <= parts - k - 1)
+            out.append(held[counts >= least])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -137,8 +140,13 @@ def node_of(elements: np.ndarray) -> int:
 
 
 def sketch(elements: np.ndarray) -> list[int]:
-    """Parities of the numbers of elements in BITS buckets. Two sets differ in at least as many elements as their sketches in bits."""
-    odd = np.bincount((elements >> _U(20)).astype(np.int64) & (BITS - 1), minlength=BITS).astype(np.uint8) & 1
+    """Parities of the numbers of elements in buckets, a power of two of them, at least BITS.
+
+    Two sets differ in at least as many elements as their sketches in bits. Halves laid over each other, by exclusive
+    or, are the sketch of half as many buckets.
+    """
+    bits = max(BITS, 1 << math.ceil(math.log2(len(elements) / 1.4))) if len(elements) else BITS
+    odd = np.bincount((elements >> _U(20)).astype(np.int64) & (bits - 1), minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd).view(np.int64).tolist()
 
 
@@ -147,7 +155,13 @@ def may_be_similar(percent: int, a: str, b: str) -> Column:
 
     Similar sets have (100 + percent) * difference <= (100 - percent) * sum of sizes.
     """
-    apart = sum((F.bit_count(F.col(f"{a}_bits")[i].bitwiseXOR(F.col(f"{b}_bits")[i])) for i in range(BITS // 64)), F.lit(0))
+    words = BITS // 64
+    p, q = F.col(f"{a}_bits"), F.col(f"{b}_bits")
+    least = F.least(F.size(p), F.size(q))
+    folded = lambda v: F.when(F.size(v) > least, F.zip_with(F.slice(v, F.lit(1), least), F.slice(v, least + 1, least), lambda x, y: x.bitwiseXOR(y))).otherwise(v)
+    long = F.aggregate(F.zip_with(folded(p), folded(q), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    short = sum((F.bit_count(p[i].bitwiseXOR(q[i])) for i in range(words)), F.lit(0))
+    apart = F.when((F.size(p) == words) & (F.size(q) == words), short).otherwise(long)
     x, y = F.col(f"{a}_size"), F.col(f"{b}_size")
     return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & ((100 + percent) * apart <= (100 - percent) * (x + y))
 
@@ -162,22 +176,36 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _chains(sig: np.ndarray, node: np.ndarray, codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of signatures and nodes, sorted, each once; and for each whether it continues the one before it.
+class Met:
+    """Sets that share signatures: rows (sig, node), each once, in order of signature and size.
 
-    The nodes of a signature stand in order of size, and nodes of one size in an order of this signature alone: so the
-    members of a large group meet new neighbours in each signature that they share, and links soon join the group.
-    Those too far apart in size to be similar begin a new chain. The last array marks the first row of each signature
-    and size code.
+    Nodes of one size stand in an order of the signature alone, so the members of a large group meet new neighbours in
+    each signature that they share, and links soon join the group.
     """
-    order = np.lexsort((node, mix(node ^ sig), node >> _U(56), sig))
-    sig, node = sig[order], node[order]
-    new = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))[: len(sig)]
-    sig, node = sig[new], node[new]
-    code = (node >> _U(56)).astype(np.int64)
-    same = np.append(False, sig[1:] == sig[:-1])[: len(sig)]
-    near = same & (np.diff(code, prepend=0) <= codes)
-    return sig, node, near, ~same | (np.diff(code, prepend=-1) != 0)
+
+    def __init__(self, sig: np.ndarray, node: np.ndarray, codes: int):
+        order = np.lexsort((node, mix(node ^ sig), node >> _U(56), sig))
+        sig, node = sig[order], node[order]
+        new = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))[: len(sig)]
+        self.sig, self.node, self.codes = sig[new], node[new], codes
+        self.code = (self.node >> _U(56)).astype(np.int64)
+        first = np.append(True, self.sig[1:] != self.sig[:-1])[: len(self.sig)]
+        start = np.flatnonzero(first)
+        group = np.cumsum(first) - 1
+        self.many = np.diff(np.append(start, len(first)))[group] > FEW
+        #: Place of a row in its signature, and whether it begins a size code there.
+        self.place = np.arange(len(first)) - start[group] if len(first) else group
+        self.begins = first | (np.diff(self.code, prepend=-1) != 0)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows to compare: all pairs in signatures of at most FEW sets, neighbours in the others. Sizes too far apart to be similar are left out."""
+        left, right = [], []
+        for d in range(1, FEW):
+            i = np.arange(len(self.sig) - d)
+            good = (self.place[i + d] >= d) & (self.code[i + d] - self.code[i] <= self.codes) & ((d == 1) | ~self.many[i])
+            left.append(i[good])
+            right.append(i[good] + d)
+        return np.concatenate(left), np.concatenate(right)
 
 
 NAMES = ["kind", "part", "id", "a", "b", "sig", "bits", "data"]
@@ -187,20 +215,22 @@ SCANNED = "kind int, part int, id long, a long, b long, sig long, bits array<lon
 def _rows(kind: int, part: np.ndarray, **columns: object) -> pa.RecordBatch:
     types = {"id": pa.int64(), "a": pa.int64(), "b": pa.int64(), "sig": pa.int64(), "bits": pa.list_(pa.int64()), "data": pa.binary()}
     n = len(part)
-    rest = [pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in types.items()]
+    rest = [columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in types.items()]
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(part.astype(np.int32)), *rest], NAMES)
 
 
-def _links(sig: np.ndarray, node: np.ndarray, near: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
-    at = np.flatnonzero(near)
-    return _rows(1, part[at], a=node[at - 1].view(np.int64), b=node[at].view(np.int64), sig=sig[at].view(np.int64))
+def _links(met: Met, left: np.ndarray, right: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+    """Rows of candidates; the signature is named where it has more pairs than these."""
+    sig = pa.array(met.sig[left].view(np.int64), mask=~met.many[left])
+    return _rows(1, part, a=met.node[left].view(np.int64), b=met.node[right].view(np.int64), sig=sig)
 
 
 def _scan(n: int, percent: int, ranges: int):
     """Documents -> rows of sets, links of a task's own signatures, and signatures packed by range.
 
-    kind 0: (id, a = node, b = size, bits); kind 1: (a, b, sig), neighbours in size that share a signature; kind 2: (part = range of
-    signatures, data = signatures and their nodes). Of many sets of a task with one signature, one of each size code is sent on.
+    kind 0: (id, a = node, b = size, bits); kind 1: (a, b, sig), candidates; kind 2: (part = range of signatures, data = signatures
+    and their nodes). Of many sets of a task with one signature, one of each size code is sent on, and FEW + 1 at least, so that
+    it has many in its range too; the task itself makes its neighbours candidates.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,12 +242,15 @@ def _scan(n: int, percent: int, ranges: int):
             nonlocal held, nodes, count
             if not held:
                 return
-            sig, node, near, first = _chains(np.concatenate(held), np.concatenate(nodes), bands.codes)
+            met = Met(np.concatenate(held), np.concatenate(nodes), bands.codes)
             held, nodes, count = [], [], 0
             known.clear()
-            if near.any():
-                yield _links(sig, node, near, sig // width)
-            sig, node = sig[first], node[first]
+            left, right = met.pairs()
+            own = met.many[left]
+            if own.any():
+                yield _links(met, left[own], right[own], met.sig[left[own]] // width)
+            sent = ~met.many | met.begins | (met.place <= FEW)
+            sig, node = met.sig[sent], met.node[sent]
             part = (sig // width).astype(np.int64)
             cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             data = [sig[i:j].tobytes() + node[i:j].tobytes() for i, j in zip(cut, np.append(cut[1:], len(sig)), strict=True)]
@@ -255,8 +288,9 @@ def _meet(percent: int):
         def close():
             sig = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 16) for x in held])
             node = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 16, len(x) // 2) for x in held])
-            sig, node, near, _ = _chains(sig, node, codes)
-            return _links(sig, node, near, np.full(len(sig), at))
+            met = Met(sig, node, codes)
+            left, right = met.pairs()
+            return _links(met, left, right, np.full(len(left), at))
 
         for batch in batches:
             kinds = batch.column(0).to_numpy()
@@ -326,8 +360,8 @@ def join_groups(ws: Workspace, docs: DataFrame, n: int, percent: int, id_col: st
     component unless it stands alone. Only the two columns are read. An empty table gives no rows.
 
     One pass over the texts makes the nodes and their signatures, in packed ranges: only there are signatures
-    shuffled, as bytes, and of many sets of a task with one signature and size one is sent. Sets that share a signature are candidates in chains in order
-    of size, not in all pairs; sizes and sketches drop most that aren't similar, and exact similarity of the whole sets
+    shuffled, as bytes, and of many sets of a task with one signature and size one is sent. Sets that share a signature
+    with more than FEW others are candidates in chains in order of size, not in all pairs; sizes and sketches drop most that aren't similar, and exact similarity of the whole sets
     decides. Where a candidate fails and its ends aren't joined by other links, the other pairs of
     its signature that sizes and sketches allow are tried too, so no link between components is lost. No group is held
     by a task: candidates, texts and labels meet in joins that adaptive execution can split.
@@ -377,9 +411,8 @@ def join_groups(ws: Workspace, docs: DataFrame, n: int, percent: int, id_col: st
     close = candidates.join(side("b"), "b").join(side("a"), "a").where(may_be_similar(percent, "a", "b")).select("a", "b")
     label = settle(ws.save(close, "close"), spark.createDataFrame([], "node long, component long"))
     apart = candidates.join(_at(label, "a"), "a", "left").join(_at(label, "b"), "b", "left").where("coalesce(a_c, a) <> coalesce(b_c, b)").select("a", "b")
-    # A signature of one candidate has no other pairs.
-    several = tried.groupBy("sig").count().where("count > 1").select("sig")
-    unsettled = ws.save(tried.join(apart, ["a", "b"]).select("sig").distinct().join(several, "sig"), "open")
+    # Signatures of few sets have no other pairs, and are null here.
+    unsettled = ws.save(tried.where("sig is not null").join(apart, ["a", "b"]).select("sig").distinct(), "open")
     if not unsettled.isEmpty():
         ends = tried.join(unsettled, "sig")
         members = ends.select("sig", F.col("a").alias("x")).union(ends.select("sig", F.col("b").alias("x"))).distinct()
