@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Workspace, table
+from .shared import Workspace, pieces, table
 
 #: Words of a cell: a paragraph is a line, cut into runs of so many words.
 CELL_WORDS = 8
@@ -159,7 +159,7 @@ def _compare(ids: list, texts: list[str]) -> pa.RecordBatch:
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (range, doc_id, text, peek) in order -> compared rows. A range ends with a peek at the next one's first row."""
     at, ids, texts, size = None, [], [], 0
-    for b in batches:
+    for b in pieces(batches):
         for part, i, t, peek in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
             if part != at:
                 if len(texts) > 1:

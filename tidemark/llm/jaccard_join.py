@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Workspace, components, table
+from .shared import Workspace, components, pieces, table
 
 #: Up to this many differing elements, signatures are subsets of SUBSET parts; above, single parts with at least LEAST elements.
 SMALL, SUBSET, LEAST = 3, 3, 2
@@ -28,7 +28,7 @@ STEP = 1.05
 #: Signatures (of 16 bytes, sorted in memory) that one range aims at, and ranges for each shuffle partition at least.
 RANGE_ROWS, RANGES_PER_PARTITION = 2_000_000, 8
 #: Signatures that a task holds before it sends them on, in ranges.
-HELD = 1 << 20
+HELD = 1 << 19
 _U = np.uint64
 
 
@@ -256,7 +256,7 @@ def _scan(n: int, percent: int, ranges: int):
             data = [sig[i:j].tobytes() + node[i:j].tobytes() for i, j in zip(cut, np.append(cut[1:], len(sig)), strict=True)]
             yield _rows(2, part[cut], data=data)
 
-        for batch in batches:
+        for batch in pieces(batches):
             ids, named, sizes, bits = batch.column(0).to_pylist(), [], [], []
             for text in batch.column(1).to_pylist():
                 e = shingles(text, n)
@@ -315,11 +315,11 @@ def _verify(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
 
-        @lru_cache(maxsize=512)
+        @lru_cache(maxsize=128)
         def elements(blob: bytes) -> np.ndarray:
             return shingles(unzip.decompress(blob).decode("utf-8", "surrogatepass"), n)
 
-        for x in batches:
+        for x in pieces(batches):
             good = [similar(elements(a), elements(b), percent) for a, b in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(good, pa.bool_())], ["a", "b", "good"])
 
@@ -331,7 +331,7 @@ def _pack(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zipped = zstandard.ZstdCompressor(level=3)
-        for x in batches:
+        for x in pieces(batches):
             own = [(k, zipped.compress(t.encode("utf-8", "surrogatepass"))) for k, t in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True) if t and node_of(shingles(t, n)) == k]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), pa.array([b for _, b in own], pa.binary())], ["node", "blob"])
 

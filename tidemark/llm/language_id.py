@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import pieces, table
 
 UNKNOWN = "und"
 #: The learned sample: at most so many documents of a language, and so many bytes of each, from all over its text.
@@ -63,7 +63,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
     drawn = rows.withColumn("h", F.pmod(F.xxhash64("k"), F.lit(scale))).where(F.col("h") < part).select("l", "h", "t")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([snippets(letters(x)) for x in b.column(2).to_pylist()], pa.binary())], ["l", "h", "s"])
 
     found: dict[str, list] = {lang: [] for lang in counts}
@@ -122,7 +122,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(dictionaries)
-        for b in batches:
+        for b in pieces(batches):
             lang, score, rejected = zip(*(classify(x) for x in b.column(1).to_pylist()), strict=True) if b.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["id", "lang_pred", "score", "rejected"])
 

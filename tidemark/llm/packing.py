@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import pieces, table
 
 CAPACITY = 1024
 END_ID = 0
@@ -130,7 +130,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             cols = list(zip(*pieces, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], id_type), *(pa.array(c, pa.int64()) for c in cols[1:])], names)
 
-        for b in batches:
+        for b in pieces(batches):
             id_type = b.schema.field(0).type
             out: list[tuple] = []
             for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import table
+from .shared import pieces, table
 
 KEY = "tidemark-surrogates"
 
@@ -278,7 +278,7 @@ def pseudonymise(docs: DataFrame, columns: list[str], text_col: str = "text", ke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         surrogates = Surrogates(key)
-        for b in batches:
+        for b in pieces(batches):
             new = [surrogates.replace(t) for t in b.column(place).to_pylist()]
             arrays = list(b.columns)
             arrays[place] = pa.array([t for t, _ in new], pa.string())

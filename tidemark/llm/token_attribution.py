@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import encoder
-from .shared import table
+from .shared import pieces, table
 
 #: Who gets a token that crosses a boundary: the section of its first character, of its last, the one that holds most
 #: of its characters (the first of equals), or each by its share of them.
@@ -78,7 +78,7 @@ def count_tokens(docs: DataFrame, rule: str = "first", spans: Callable[[str], np
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
         lengths = np.array([len(encode.decode_single_token_bytes(i)) for i in range(encode.n_vocab)], np.int64)
-        for b in batches:
+        for b in pieces(batches):
             at, found = [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 if not text:
@@ -110,7 +110,7 @@ def count_field_tokens(rows: DataFrame, fields: list[str], id_col: str, rule: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
         lengths = np.array([len(encode.decode_single_token_bytes(i)) for i in range(encode.n_vocab)], np.int64)
-        for b in batches:
+        for b in pieces(batches):
             at, found = [], []
             for i, marked_text in enumerate(b.column(1).to_pylist()):
                 head, _, text = marked_text.partition("\x00")

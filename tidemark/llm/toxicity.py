@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Workspace, table
+from .shared import Workspace, pieces, table
 
 #: Terms of one group take each other's place, each that of the one before it.
 IDENTITY_TERMS = (
@@ -27,7 +27,7 @@ STARTS = range(2, 10)
 SWAP_PENALTY, RIDGE, STEPS = 1.0, 2e-4, 400
 THRESHOLD = 0.3
 #: Entries that a task's table of counts or of known words may have before it is emptied.
-TABLE = 1 << 19
+TABLE = 1 << 17
 
 _SWAP = {t: g[(i + 1) % len(g)] for g in IDENTITY_TERMS for i, t in enumerate(g)}
 _WORD = re.compile(r"[^\W\d_]+")
@@ -136,7 +136,7 @@ def learn(ws: Workspace, docs: DataFrame, labels: DataFrame) -> Model:
             seen.clear()
             return out
 
-        for b in batches:
+        for b in pieces(batches):
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for f in {f for w in words(plain(text)) for f in features_of(w)}:
                     seen.setdefault(f, [0, 0])[toxic] += 1
@@ -155,7 +155,7 @@ def learn(ws: Workspace, docs: DataFrame, labels: DataFrame) -> Model:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = model.reader()
-        for b in batches:
+        for b in pieces(batches):
             texts = [plain(x) for x in b.column(0).to_pylist()]
             other = [None if (s := swapped(x)) is None else read(s) for x in texts]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([read(x) for x in texts], pa.list_(pa.int64())), pa.array(other, pa.list_(pa.int64()))], ["toxic", "own", "other"])
@@ -176,7 +176,7 @@ def score(docs: DataFrame, model: Model, columns: list[str], text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = model.reader()
-        for b in batches:
+        for b in pieces(batches):
             scored = model.scores(b.column(b.num_columns - 1).to_pylist(), read)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scored)], [*columns, "score"])
 
