@@ -82,6 +82,6 @@ def moved(keys: DataFrame, before: DataFrame, after: DataFrame, key: str = "key"
 def placement(spark: SparkSession, shards: int, nodes: list[str], copies: int) -> DataFrame:
     """(shard, replica, node, preferred): copy j of shard i is on node (i + j) modulo the nodes; the first is preferred."""
     names = F.array(*[F.lit(n) for n in nodes])
-    each = spark.range(shards).select(F.col("id").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(min(copies, len(nodes)) - 1))).cast("long").alias("replica"))
+    each = spark.range(shards).select(F.col("id").alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(min(copies, len(nodes)) - 1).cast("long"))).alias("replica"))
     at = ((F.col("shard") + F.col("replica")) % len(nodes)).cast("int")
     return each.select("shard", "replica", F.get(names, at).alias("node"), (F.col("replica") == 0).alias("preferred"))

@@ -1 +1 @@
-
+"""Versioned tables in shared storage, and key-value commands over them."""
