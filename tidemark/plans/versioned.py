@@ -135,12 +135,12 @@ ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
 _O = ", ".join(ORDERS)
 
 
-@_R.add("dml_insert", f"SELECT {_O} FROM orders UNION ALL SELECT o_orderkey + (SELECT max(o_orderkey) FROM orders), o_custkey, 'N', 0.0 FROM orders WHERE o_orderstatus = 'P'")
+@_R.add("dml_insert", f"SELECT {_O} FROM orders UNION ALL SELECT o_orderkey + (SELECT max(o_orderkey) FROM orders) + 1, o_custkey, 'N', 0.0 FROM orders WHERE o_orderstatus = 'P'")
 def dml_insert(spark, sf_dir):
     """Rows to insert pass an anti-join on the primary key."""
     o = table(spark, sf_dir, "orders").select(*ORDERS)
     top = o.agg(F.max("o_orderkey")).first()[0]
-    new = o.where("o_orderstatus = 'P'").select((F.col("o_orderkey") + top).alias("o_orderkey"), "o_custkey", F.lit("N").alias("o_orderstatus"), F.lit(0.0).alias("o_totalprice"))
+    new = o.where("o_orderstatus = 'P'").select((F.col("o_orderkey") + top + 1).alias("o_orderkey"), "o_custkey", F.lit("N").alias("o_orderstatus"), F.lit(0.0).alias("o_totalprice"))
     return o.unionByName(new.join(o.select("o_orderkey"), "o_orderkey", "left_anti").select(*ORDERS))
 
 
