@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,10 +15,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes that Spark hands to Python at once. Such batches lie outside of the heap, in several copies on both sides.
+ARROW_BYTES = 2 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """df.mapInArrow in batches of about ARROW_BYTES; a task gives back what its allocators hold when it ends.
+
+    Without the bound a batch has up to 10,000 rows, however long their texts are. It is a setting of the session,
+    read when a plan runs, so it stays lowered; a lower one stays as it is.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    bytes_of = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if not 0 < bytes_of(conf.get(name)) <= ARROW_BYTES:
+        conf.set(name, str(ARROW_BYTES))
+
+    def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(frugal, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker serves tasks of many kinds, one after the other."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. Only a local session may fall back to a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
