@@ -6,13 +6,14 @@ import base64
 import heapq
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import pieces, table
+from .shared import map_batches, pieces, table
 
 CAPACITY = 1024
 END_ID = 0
@@ -20,8 +21,13 @@ END_ID = 0
 BATCH = 1536
 
 
+#: Tokens that the vocabulary has besides its ranks; fixed values. Their strings in a text are these tokens.
+ADDED = {"<|endoftext|>": 50256}
+
+
+@lru_cache(maxsize=1)
 def encoder(ranks_name: str = "byte_bpe_50k.tiktoken"):
-    """Encoder of the public byte-level vocabulary: text -> numpy ids. Its special strings are ordinary text in a text.
+    """Encoder of the public byte-level vocabulary, one for a worker. encode() gives a text's ids.
 
     The ranks file holds the same vocabulary as byte_bpe_50k.json and gives the same ids, several times faster.
     """
@@ -30,7 +36,12 @@ def encoder(ranks_name: str = "byte_bpe_50k.tiktoken"):
 
     with open(public_tokenizers.path(ranks_name), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
+
+
+def ids_of(text: str | None) -> np.ndarray:
+    """The ids of a whole text, as the vocabulary's own tokenizer gives them."""
+    return encoder().encode_to_numpy(text, allowed_special="all") if text else np.zeros(0, np.uint32)
 
 
 def difference(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, int]:
@@ -122,7 +133,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder()
         packer = Packer(TaskContext.get().partitionId() << 40, capacity)
         id_type: pa.DataType | None = None
 
@@ -134,13 +144,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             id_type = b.schema.field(0).type
             out: list[tuple] = []
             for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                out += packer.take(row, np.append(encode.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32), END_ID).astype("<u4"))
+                out += packer.take(row, np.append(ids_of(text), END_ID).astype("<u4"))
             if out:
                 yield batch(out)
         if out := packer.close():
             yield batch(out)
 
-    return rows.mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long").withColumnRenamed("id", id_col)
+    return map_batches(rows, run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long").withColumnRenamed("id", id_col)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .packing import encoder
-from .shared import pieces, table
+from .packing import encoder, ids_of
+from .shared import map_batches, pieces, table
 
 #: Who gets a token that crosses a boundary: the section of its first character, of its last, the one that holds most
 #: of its characters (the first of equals), or each by its share of them.
@@ -61,73 +62,66 @@ def allocate(cuts: np.ndarray, starts: np.ndarray, ends: np.ndarray, rule: str)
     return counts, crossed
 
 
-def count_tokens(docs: DataFrame, rule: str = "first", spans: Callable[[str], np.ndarray] = line_spans, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, section, start, end, n_tokens, crossing, doc_tokens) for each section of each row of docs.
+@lru_cache(maxsize=1)
+def token_lengths() -> np.ndarray:
+    """Bytes of each token."""
+    encode = encoder()
+    return np.array([len(encode.decode_single_token_bytes(i)) for i in range(encode.n_vocab)], np.int64)
 
-    spans gives the boundaries of a text's sections: 0, ascending, its length. A text is encoded whole and once, so
-    the counts of its sections sum to doc_tokens, whatever the rule. A null or empty text is one empty section
-    without tokens. An empty section between two others gets none. Repeated rows each give their rows; null ids are
-    kept; other columns aren't read. An empty table gives no rows.
-    """
+
+NAMES = ["id", "section", "start", "end", "n_tokens", "crossing", "doc_tokens"]
+
+
+def _attribute(rows: DataFrame, rule: str, read: Callable[[pa.RecordBatch], Iterator[tuple[str | None, np.ndarray]]], id_col: str) -> DataFrame:
+    """NAMES for each section of each row (id, ...); read gives the whole text of each row of a batch and its sections' boundaries."""
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    names = ["id", "section", "start", "end", "n_tokens", "crossing", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder()
-        lengths = np.array([len(encode.decode_single_token_bytes(i)) for i in range(encode.n_vocab)], np.int64)
         for b in pieces(batches):
             at, found = [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                if not text:
-                    at.append(np.array([i]))
-                    found.append(np.zeros((1, 6)))
-                    continue
-                ids = encode.encode_to_numpy(text, disallowed_special=())
-                cuts = spans(text)
-                counts, crossed = allocate(cuts, *token_spans(text, ids, lengths), rule)
-                n = len(counts)
+            for i, (text, cuts) in enumerate(read(b)):
+                ids, n = ids_of(text), len(cuts) - 1
+                counts, crossed = allocate(cuts, *token_spans(text, ids, token_lengths()), rule) if len(ids) else (np.zeros(n), np.zeros(n))
                 at.append(np.full(n, i))
                 found.append(np.column_stack([np.arange(n), cuts[:-1], cuts[1:], counts, crossed, np.full(n, len(ids))]))
             if found:
                 x = np.concatenate(found)
                 whole = [pa.array(x[:, k].astype(np.int64)) for k in (0, 1, 2, 4, 5)]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(at))), *whole[:3], pa.array(x[:, 3]), *whole[3:]], names)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(at))), *whole[:3], pa.array(x[:, 3]), *whole[3:]], NAMES)
 
-    return rows.mapInArrow(run, f"id {kind}, section long, start long, end long, n_tokens double, crossing long, doc_tokens long").withColumnRenamed("id", id_col)
+    kind = rows.schema["id"].dataType.simpleString()
+    return map_batches(rows, run, f"id {kind}, section long, start long, end long, n_tokens double, crossing long, doc_tokens long").withColumnRenamed("id", id_col)
+
+
+def count_tokens(docs: DataFrame, rule: str = "first", spans: Callable[[str], np.ndarray] = line_spans, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, section, start, end, n_tokens, crossing, doc_tokens) for each section of each row of docs.
+
+    spans gives the boundaries of a text's sections: 0, ascending, its length. A text is encoded whole and once, so
+    the counts of its sections sum to doc_tokens, whatever the rule. A null or empty text is one empty section
+    without tokens. An empty section between two others gets none. Repeated rows each give their rows; null ids are
+    kept; other columns aren't read. An empty table gives no rows.
+    """
+
+    def read(b: pa.RecordBatch) -> Iterator[tuple[str | None, np.ndarray]]:
+        for text in b.column(1).to_pylist():
+            yield text, spans(text) if text else np.zeros(2, np.int64)
+
+    return _attribute(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), rule, read, id_col)
 
 
 def count_field_tokens(rows: DataFrame, fields: list[str], id_col: str, rule: str = "first", separator: str = "\n") -> DataFrame:
     """count_tokens for rows whose text is made of several string columns, one after the other with a separator, which counts
-    with the field before it. section is the field's place in fields; a null field is empty."""
-    whole = F.concat(*[F.concat(F.coalesce(F.col(c), F.lit("")), F.lit(separator if i + 1 < len(fields) else "")) for i, c in enumerate(fields)])
-    cuts = F.transform(F.array(*[F.coalesce(F.length(c), F.lit(0)) for c in fields]), lambda x: x)
-    marked = rows.select(F.col(id_col), F.concat(F.array_join(cuts.cast("array<string>"), ","), F.lit("\x00"), whole).alias("text"))
-    extra = len(separator)
+    with the field before it. section is the field's place in fields; a null field is empty. Repeated rows each give
+    their rows, null ids are kept, an empty table gives no rows, and other columns aren't read."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder()
-        lengths = np.array([len(encode.decode_single_token_bytes(i)) for i in range(encode.n_vocab)], np.int64)
-        for b in pieces(batches):
-            at, found = [], []
-            for i, marked_text in enumerate(b.column(1).to_pylist()):
-                head, _, text = marked_text.partition("\x00")
-                sizes = [int(x) + extra for x in head.split(",")]
-                sizes[-1] -= extra
-                edges = np.append(0, np.cumsum(sizes))
-                ids = encode.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.int64)
-                counts, crossed = allocate(edges, *token_spans(text, ids, lengths), rule) if len(ids) else (np.zeros(len(sizes)), np.zeros(len(sizes)))
-                at.append(np.full(len(sizes), i))
-                found.append(np.column_stack([np.arange(len(sizes)), edges[:-1], edges[1:], counts, crossed, np.full(len(sizes), len(ids))]))
-            if found:
-                x = np.concatenate(found)
-                whole_numbers = [pa.array(x[:, k].astype(np.int64)) for k in (0, 1, 2, 4, 5)]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(at))), *whole_numbers[:3], pa.array(x[:, 3]), *whole_numbers[3:]], ["id", "section", "start", "end", "n_tokens", "crossing", "doc_tokens"])
+    def read(b: pa.RecordBatch) -> Iterator[tuple[str | None, np.ndarray]]:
+        for values in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+            parts = [(v or "") + separator for v in values]
+            parts[-1] = values[-1] or ""
+            yield "".join(parts), np.append(0, np.cumsum([len(p) for p in parts]))
 
-    kind = marked.schema[id_col].dataType.simpleString()
-    return marked.mapInArrow(run, f"id {kind}, section long, start long, end long, n_tokens double, crossing long, doc_tokens long").withColumnRenamed("id", id_col)
+    return _attribute(rows.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(fields)]), rule, read, id_col)
 
 
 def op5_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
