@@ -4,23 +4,25 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Workspace, pieces, table
+from .shared import Workspace, map_batches, pieces, table
 
 #: Words of a cell: a paragraph is a line, cut into runs of so many words.
 CELL_WORDS = 8
 #: Cells of the sketch that is the fingerprint, hashes of a digest, and by how much a failed sketch grows.
 SKETCH, HASHES, GROWTH = 24, 3, 4
 #: Characters that a task compares at once, and characters that a range of ids aims at.
-BATCH_CHARS, RANGE_CHARS = 1 << 20, 1 << 24
-MOST_RANGES = 4096
+BATCH_CHARS, RANGE_CHARS = 1 << 18, 1 << 24
+#: Ranges for each shuffle partition at least, ranges at most, and rows drawn for each range to cut by.
+RANGES, MOST_RANGES, DRAWN = 2, 1 << 18, 16
 _U = np.uint64
 
 
@@ -159,7 +161,7 @@ def _compare(ids: list, texts: list[str]) -> pa.RecordBatch:
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (range, doc_id, text, peek) in order -> compared rows. A range ends with a peek at the next one's first row."""
     at, ids, texts, size = None, [], [], 0
-    for b in pieces(batches):
+    for b in pieces(batches, 64):
         for part, i, t, peek in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
             if part != at:
                 if len(texts) > 1:
@@ -177,40 +179,54 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _compare(ids, texts)
 
 
+def range_of(key: Column, cuts: list, literal: Callable[[object], Column]) -> Column:
+    """How many of the ascending cuts are at most key. Cuts stand in blocks, so a row looks at twice their square root."""
+    if not cuts:
+        return F.lit(0)
+    width = math.isqrt(len(cuts)) + 1
+    blocks = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    count = lambda array: F.size(F.filter(array, lambda x: x <= key))
+    before = count(F.array(*[literal(b[0]) for b in blocks]))
+    within = F.element_at(F.array(*[F.array(*map(literal, b)) for b in blocks]), F.greatest(before, F.lit(1)))
+    return F.when(before == 0, 0).otherwise((before - 1) * width + count(within))
+
+
 def fingerprint_versions(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """NAMES for each row of docs; near_edited and near_next compare a text's digests with those of its edited text
     and of the next document.
 
-    Documents are ordered by id, nulls first, then by text; the last one's next is the first. A null text is empty;
-    an empty text has one cell, the empty one. A single document is its own next. Repeated rows each give a row, and
-    are each other's next. Other columns aren't read. An empty table gives no rows.
+    Documents are ordered by id, nulls first; rows of one id by the hash of their text. The last one's next is the first.
+    A null text is empty; an empty text has one cell, the empty one. A single document is its own next. Repeated rows
+    each give a row, and are each other's next. Other columns aren't read. An empty table gives no rows.
 
-    Texts are shuffled once, into ranges of ids with about RANGE_CHARS characters; a copy of each range's first row goes to
-    the range before it. A task walks a sorted range with one batch in memory.
+    Texts are shuffled once, into ranges of (id, hash, place in the input), each a partition of its own; cuts come from
+    a sample, whose size is bounded by MOST_RANGES. So rows of one id, or of none, are dealt over many tasks as well. A copy
+    of each range's first row goes to the range before it. A task walks a sorted range with one batch in memory.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
     if not total.n:
         return ws.spark.createDataFrame([], SCHEMA)
-    ranges = int(min(MOST_RANGES, max(8 * int(ws.spark.conf.get("spark.sql.shuffle.partitions")), total.chars / RANGE_CHARS)))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or []
-    cuts = sorted(set(cuts))
-    # The ids' ranges: their number is bounded by MOST_RANGES, whatever the table's size.
-    lower = F.lit(cuts) if cuts else F.array().cast("array<long>")
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(lower, lambda x: x <= F.col("doc_id"))))
-    dealt = rows.withColumn("part", part)
-    firsts = dealt.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("i"))).alias("m")).orderBy("part").collect()
-    parts = [r.part for r in firsts]
-    before = {p: parts[k - 1] for k, p in enumerate(parts)}
-    plan = ws.spark.createDataFrame([(r.part, before[r.part], r.m.i) for r in firsts], "part int, before int, first long")
-    placed = dealt.join(F.broadcast(plan), "part")
-    leads = placed.where(F.col("doc_id").eqNullSafe(F.col("first")))
-    # Several rows may share the first id; the one of the smallest text is first.
-    leads = leads.groupBy("part", "before").agg(F.min("text").alias("text"), F.first("first").alias("doc_id"))
-    peeks = leads.select(F.col("before").alias("part"), "doc_id", "text", F.lit(True).alias("peek"))
-    both = placed.select("part", "doc_id", "text", F.lit(False).alias("peek")).unionByName(peeks)
-    ordered = both.repartition(len(parts), "part").sortWithinPartitions("part", "peek", F.col("doc_id").asc_nulls_first(), "text")
-    return ordered.mapInArrow(_walk, SCHEMA)
+    ranges = int(min(MOST_RANGES, max(RANGES * int(ws.spark.conf.get("spark.sql.shuffle.partitions")), total.chars / RANGE_CHARS)))
+    key = ["doc_id", "hash", "place"]
+    keyed = rows.withColumn("hash", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    scale = 1 << 40
+    drawn = keyed.where(F.pmod(F.xxhash64(*key, F.lit(1)), F.lit(scale)) < F.lit(min(scale, scale * ranges * DRAWN // total.n))).select(*key).collect()
+    drawn.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.hash, r.place))
+    cuts = [drawn[i * len(drawn) // ranges] for i in range(1, ranges)] if len(drawn) >= ranges else drawn
+    literal = lambda r: F.struct(*[F.lit(r[c]).cast("long").alias(c) for c in key])
+    placed = keyed.withColumn("key", F.struct(*key)).withColumn("part", range_of(F.struct(*key), cuts, literal))
+    # One row a range: its first key, for the range before it.
+    firsts = placed.groupBy("part").agg(F.min("key").alias("first")).orderBy("part").collect()
+    plan = [(before.part, r.first.doc_id, r.first.hash) for r, before in zip(firsts, [firsts[-1], *firsts], strict=False)]
+    plan = F.broadcast(ws.spark.createDataFrame(plan, "part int, first long, first_hash long"))
+    found = keyed.join(plan, (F.col("hash") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first")))
+    # Rows that are equal in id and text may all match; any of them will do.
+    peeks = found.groupBy("part").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("hash").alias("hash"))
+    peeks = peeks.select("part", "doc_id", "text", F.lit(True).alias("peek"), "hash", F.lit(0).cast("long").alias("place"))
+    both = placed.select("part", "doc_id", "text", F.lit(False).alias("peek"), "hash", "place").unionByName(peeks)
+    ordered = both.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "peek", F.col("doc_id").asc_nulls_first(), "hash", "place")
+    return map_batches(ordered.select("part", "doc_id", "text", "peek"), _walk, SCHEMA)
 
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
