@@ -9,17 +9,18 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .shared import pieces, table
+from .shared import map_batches, pieces, table
 
 UNKNOWN = "und"
-#: The learned sample: at most so many documents of a language, and so many bytes of each, from all over its text.
-SAMPLE_DOCS, SAMPLE_BYTES, SNIPPETS = 512, 512, 2
+#: The learned sample: at most so many documents of a language, and so many bytes of each, in pieces from all over its text.
+SAMPLE_DOCS, SAMPLE_BYTES, SNIPPETS = 512, 512, 4
 #: Bytes of a text that are encoded at once; each block meets the whole dictionary again.
 BLOCK, LEVEL = 2048, 6
-#: Texts of fewer bytes are encoded after each of these many pieces of their language's sample, of so many bytes, and
-#: what they add is counted: alone they'd be too short for entropy coding, and sizes would tie.
-SHORT, PIECES, PIECE, SHORT_LEVEL = 1024, 8, 256, 12
+#: A block is encoded after pieces of its language's sample, of so many bytes, and what it adds is counted: entropy coding
+#: needs a start, and sizes would tie. One piece does for each REPEAT bytes that the block falls short of, up to all.
+PIECES, PIECE, REPEAT = 8, 256, 1024
 #: The most languages that can be learned.
 MAX_LANGUAGES = 1000
 #: A prediction is marked as rejected where the second smallest encoding is larger by less than this part.
@@ -37,18 +38,19 @@ def letters(text: str | None) -> bytes:
 
 
 def snippets(words: bytes) -> bytes:
-    """Up to SAMPLE_BYTES of a text: evenly spaced pieces, so that no part of it is preferred."""
+    """Up to SAMPLE_BYTES of a text: evenly spaced pieces from its first byte to its last."""
     if len(words) <= SAMPLE_BYTES:
         return words
-    size, step = SAMPLE_BYTES // SNIPPETS, (len(words) - SAMPLE_BYTES // SNIPPETS) // (SNIPPETS - 1)
-    return b" ".join(words[i * step : i * step + size] for i in range(SNIPPETS))
+    size = SAMPLE_BYTES // SNIPPETS
+    starts = [i * (len(words) - size) // (SNIPPETS - 1) for i in range(SNIPPETS)]
+    return b" ".join(words[i : i + size] for i in starts)
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id") -> dict[str, bytes]:
     """Raw-content dictionaries by language, from a sample of at most SAMPLE_DOCS documents of each.
 
-    The sample is by the hash of the key, so it is the same in every run, and its size doesn't grow with the table.
-    Rows with a null language, key or text aren't learned from.
+    The sample is by the hash of key and text, so it is the same in every run, its size doesn't grow with the table, and
+    a key that comes often counts once for each of its texts. Rows with a null language, key or text aren't learned from.
     """
     rows = docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("k is not null and t is not null and l is not null")
     counts = {r.l: r["count"] for r in rows.groupBy("l").count().limit(MAX_LANGUAGES + 1).collect()}
@@ -60,44 +62,48 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
     part = F.lit(0).cast("long")
     for lang, n in sorted(counts.items()):
         part = F.when(F.col("l") == lang, F.lit(min(scale, scale * SAMPLE_DOCS // n))).otherwise(part)
-    drawn = rows.withColumn("h", F.pmod(F.xxhash64("k"), F.lit(scale))).where(F.col("h") < part).select("l", "h", "t")
+    drawn = rows.withColumn("h", F.xxhash64("k", "t")).where(F.pmod("h", F.lit(scale)) < part).select("l", "h", "t")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([snippets(letters(x)) for x in b.column(2).to_pylist()], pa.binary())], ["l", "h", "s"])
 
-    found: dict[str, list] = {lang: [] for lang in counts}
-    for r in drawn.mapInArrow(cut, "l string, h long, s binary").collect():
-        found[r.l].append((r.h, bytes(r.s)))
-    texts = {lang: b" ".join(s for _, s in sorted(x)[:SAMPLE_DOCS] if s) for lang, x in found.items()}
+    # Repeated rows merge before they are numbered, so a language has about SAMPLE_DOCS rows here, and then no more.
+    each = map_batches(drawn, cut, "l string, h long, s binary").where("s <> X''").distinct()
+    numbered = each.withColumn("i", F.row_number().over(Window.partitionBy("l").orderBy("h", "s"))).where(F.col("i") <= SAMPLE_DOCS)
+    found: dict[str, list] = {}
+    for r in numbered.collect():
+        found.setdefault(r.l, []).append((r.i, bytes(r.s)))
+    texts = {lang: b" ".join(s for _, s in sorted(x)) for lang, x in found.items()}
     return {lang: t for lang, t in sorted(texts.items()) if len(t) >= 8}
 
 
-def _encoder(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
+def _encoder(dictionary: bytes) -> zstandard.ZstdCompressor:
     raw = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    raw.precompute_compress(level=level)
-    return zstandard.ZstdCompressor(level=level, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
+    raw.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.langs = sorted(dictionaries)
-        self.long = [_encoder(dictionaries[x], LEVEL) for x in self.langs]
-        self.short = []
+        self.langs, self.coders = sorted(dictionaries), []
         for x in self.langs:
             sample = dictionaries[x]
             pieces = [sample[i * PIECE : (i + 1) * PIECE] + b" " for i in range(PIECES)]
-            e = _encoder(sample[PIECES * PIECE :] if len(sample) > PIECES * PIECE + 8 else sample, SHORT_LEVEL)
-            self.short.append((e, pieces, sum(len(e.compress(p)) for p in pieces)))
+            # Pieces aren't part of the dictionary, unless it would be too small without them.
+            rest = sample[PIECES * PIECE :]
+            e = _encoder(rest if len(rest) >= 8 else sample)
+            self.coders.append((e, pieces, [len(e.compress(p)) for p in pieces]))
 
     def sizes(self, words: bytes) -> list[tuple[float, str]]:
-        """Bytes that each language takes for the text, smallest first."""
-        if len(words) < SHORT:
-            cost = [max(1.0, (sum(len(e.compress(p + words)) for p in pieces) - base) / PIECES) for e, pieces, base in self.short]
-        else:
-            blocks = [words[i : i + BLOCK] for i in range(0, len(words), BLOCK)]
-            cost = [float(sum(len(e.compress(b)) for b in blocks)) for e in self.long]
-        return sorted(zip(cost, self.langs, strict=True))
+        """Bytes that each language takes for the text, smallest first: of each block, the mean of what it adds after some pieces."""
+        cost = [0.0] * len(self.langs)
+        for k, at in enumerate(range(0, len(words), BLOCK)):
+            block = words[at : at + BLOCK]
+            n = min(PIECES, -(-REPEAT // len(block)))
+            for i, (e, pieces, alone) in enumerate(self.coders):
+                cost[i] += sum(len(e.compress(pieces[(k + j) % PIECES] + block)) - alone[(k + j) % PIECES] for j in range(n)) / n
+        return sorted((max(1.0, c), x) for c, x in zip(cost, self.langs, strict=True))
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether the margin is too narrow."""
@@ -128,7 +134,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
+    return map_batches(rows, run, f"id {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
