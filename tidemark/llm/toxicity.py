@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Workspace, pieces, table
+from .shared import Workspace, map_batches, pieces, table
 
 #: Terms of one group take each other's place, each that of the one before it.
 IDENTITY_TERMS = (
@@ -24,10 +24,10 @@ SAMPLE, FEATURES, LEAST_CHI2 = 20_000, 4096, 12.0
 #: Letters of the word starts that are features.
 STARTS = range(2, 10)
 #: Weight of squared score changes under swaps, of squared weights, and the steps of the fit.
-SWAP_PENALTY, RIDGE, STEPS = 1.0, 2e-4, 400
+SWAP_PENALTY, RIDGE, STEPS = 20.0, 2e-4, 400
 THRESHOLD = 0.3
 #: Entries that a task's table of counts or of known words may have before it is emptied.
-TABLE = 1 << 17
+TABLE = 1 << 16
 
 _SWAP = {t: g[(i + 1) % len(g)] for g in IDENTITY_TERMS for i, t in enumerate(g)}
 _WORD = re.compile(r"[^\W\d_]+")
@@ -104,10 +104,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[int, np.nd
         p = 1 / (1 + np.exp(-(np.bincount(ri, w[ci], len(rows)) + bias)))
         g = (p - labels) / len(rows)
         grad = np.bincount(ci, g[ri], n) + 2 * RIDGE * w
+        moved = 0.0
         if swaps:
-            change = 2 * SWAP_PENALTY / len(swaps) * (np.bincount(si, w[sc], len(swaps)) - np.bincount(oi, w[oc], len(swaps)))
-            grad += np.bincount(sc, change[si], n) - np.bincount(oc, change[oi], n)
-        full = np.append(grad, g.sum())
+            new, old = (1 / (1 + np.exp(-(np.bincount(i, w[c], len(swaps)) + bias))) for i, c in ((si, sc), (oi, oc)))
+            change = 2 * SWAP_PENALTY / len(swaps) * (new - old)
+            up, down = change * new * (1 - new), change * old * (1 - old)
+            grad += np.bincount(sc, up[si], n) - np.bincount(oc, down[oi], n)
+            moved = (up - down).sum()
+        full = np.append(grad, g.sum() + moved)
         m, v = 0.9 * m + 0.1 * full, 0.999 * v + 0.001 * full**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w, bias = w - move[:-1], bias - move[-1]
@@ -125,8 +129,9 @@ def learn(ws: Workspace, docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     scale, n = 1 << 40, known.count()
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < F.lit(min(scale, scale * SAMPLE // max(n, 1))))
-    # Bounded by SAMPLE, whatever the table's size.
-    rows = ws.save(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic"), "labelled")
+    # About SAMPLE ids, whatever the table's size; of a repeated id's texts one is learned from.
+    of_id = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = ws.save(of_id.select("text", "toxic"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
@@ -148,39 +153,43 @@ def learn(ws: Workspace, docs: DataFrame, labels: DataFrame) -> Model:
     neg, pos = float(by_label.get(0, 0)), float(by_label.get(1, 0))
     if not neg or not pos:
         return Model([], np.zeros(0), float(np.log((pos + 0.5) / (neg + 0.5))) if neg + pos else 0.0)
-    sums = rows.mapInArrow(count, "f string, neg int, pos int").groupBy("f").agg(F.sum("neg").cast("double").alias("neg"), F.sum("pos").cast("double").alias("pos")).where("neg + pos >= 3")
+    sums = map_batches(rows, count, "f string, neg int, pos int").groupBy("f").agg(F.sum("neg").cast("double").alias("neg"), F.sum("pos").cast("double").alias("pos")).where("neg + pos >= 3")
     chi2 = F.pow(F.col("pos") * neg - F.col("neg") * pos, 2) * (neg + pos) / ((F.col("pos") + F.col("neg")) * (neg + pos - F.col("pos") - F.col("neg") + 1) * neg * pos)
     best = sorted(r.f for r in sums.withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.col("chi2").desc(), "f").limit(FEATURES).collect())
     model = Model(best, np.zeros(len(best)), 0.0)
 
+    packed = lambda x: x.astype("<i4").tobytes()
+
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = model.reader()
         for b in pieces(batches):
             texts = [plain(x) for x in b.column(0).to_pylist()]
-            other = [None if (s := swapped(x)) is None else read(s) for x in texts]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([read(x) for x in texts], pa.list_(pa.int64())), pa.array(other, pa.list_(pa.int64()))], ["toxic", "own", "other"])
+            other = [None if (s := swapped(x)) is None else packed(read(s)) for x in texts]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([packed(read(x)) for x in texts], pa.binary()), pa.array(other, pa.binary())], ["toxic", "own", "other"])
 
-    found = rows.mapInArrow(features, "toxic int, own array<long>, other array<long>").collect()
-    found.sort(key=lambda r: (r.toxic, r.own, r.other or []))
-    w, bias = fit([np.array(r.own, np.int64) for r in found], np.array([r.toxic for r in found], float), [(i, np.array(r.other, np.int64)) for i, r in enumerate(found) if r.other is not None], len(best))
+    found = [(r.toxic, bytes(r.own), None if r.other is None else bytes(r.other)) for r in map_batches(rows, features, "toxic int, own binary, other binary").collect()]
+    found.sort(key=lambda r: (r[0], r[1], r[2] or b""))
+    places = lambda x: np.frombuffer(x, "<i4").astype(np.int64)
+    w, bias = fit([places(x) for _, x, _ in found], np.array([y for y, _, _ in found], float), [(i, places(x)) for i, (_, _, x) in enumerate(found) if x is not None], len(best))
     return Model(best, w, bias)
 
 
 def score(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The named columns of docs and its score, from 0 to 1, of every whole text.
+    """The named columns of docs and then `score`, from 0 to 1, of every whole text.
 
-    A null or empty text has the prior's score. Repeated rows each give a row. The score's column is `score`, and
-    should not be among the named ones.
+    A null or empty text has the prior's score. Repeated rows each give a row; an empty table gives none. The columns may
+    have any name; one named score stands before the score, which then is the last column.
     """
-    kept = docs.select(*columns, F.col(text_col).alias("__text"))
+    names = [f"__s{i}" for i in range(len(columns))]
+    kept = docs.select(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)], F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = model.reader()
         for b in pieces(batches):
             scored = model.scores(b.column(b.num_columns - 1).to_pylist(), read)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scored)], [*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scored)], [*names, "__score"])
 
-    return kept.mapInArrow(run, kept.drop("__text").schema.add("score", "double"))
+    return map_batches(kept, run, kept.drop("__text").schema.add("__score", "double")).toDF(*columns, "score")
 
 
 def _learned(spark: SparkSession, sf_dir: str, docs: DataFrame) -> Model:
