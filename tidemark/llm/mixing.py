@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import math
-from collections import defaultdict
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,8 +16,6 @@ WEIGHTS = (1, 2, 3)
 CAP = 3
 #: A document of over target / LEVELS[i] words is of level i.
 LEVELS = (4, 16, 64, 256)
-#: One row of the plan per source, level and size class is held by the driver; more sources are refused.
-MAX_SOURCES = 100_000
 #: Rows that one bucket of the prefix sum aims at, and the fewest buckets that large inputs are cut into.
 BUCKET_ROWS, BUCKETS = 200_000, 512
 
@@ -30,26 +24,34 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: dict[str, int], weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> dict[str, float]:
-    """Words that each source is to give. Together they give all words; none gives over cap times its size, and what
-    the capped ones leave is shared out by weight."""
-    names = sorted(sizes)
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    rest, share = sum(sizes.values()), sum(weight.values())
-    order = sorted(names, key=lambda s: (cap * sizes[s] / weight[s], s))
-    out = {}
-    for i, s in enumerate(order):
-        level = rest / share
-        if level <= cap * sizes[s] / weight[s]:
-            return out | {x: weight[x] * level for x in order[i:]}
-        out[s] = float(cap * sizes[s])
-        rest, share = rest - cap * sizes[s], share - weight[s]
-    return out
+def tie_of(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
 
+def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """(_src, source_size, target) from (_src, source_size): the words that each source is to give.
 
-def offset(source: str, seed: str) -> float:
+    Together they give all words; none gives over cap times its size, and what the capped ones leave is shared out by
+    weight. In order of cap * size / weight the first sources are the capped ones; the level of the others is what is left
+    for one unit of weight. The windows run over one row a source.
+    """
+    turn = F.pmod(F.row_number().over(Window.orderBy("_src")) - 1, F.lit(len(weights)))
+    weighed = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), turn + 1).cast("long"))
+    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = Window.orderBy("ratio", "_src").rowsBetween(Window.unboundedPreceding, -1)
+    ratio = weighed.withColumn("ratio", cap * F.col("source_size") / F.col("weight"))
+    total = ratio.withColumns({"total": F.sum("source_size").over(whole), "weights": F.sum("weight").over(whole)})
+    gone = total.withColumns({"gone": F.coalesce(F.sum(cap * F.col("source_size")).over(before), F.lit(0)), "out": F.coalesce(F.sum("weight").over(before), F.lit(0))})
+    level = gone.withColumn("own", (F.col("total") - F.col("gone")).cast("double") / (F.col("weights") - F.col("out")).cast("double"))
+    free = F.when(F.col("own") <= F.col("ratio"), F.struct("ratio", "_src", "own"))
+    met = level.withColumn("first", F.min(free).over(whole))
+    target = F.when(F.col("first").isNull() | (F.col("ratio") < F.col("first.ratio")), (cap * F.col("source_size")).cast("double")).otherwise(F.col("weight") * F.col("first.own"))
+    return met.select("_src", "source_size", target.alias("target"))
+
+
+def offset(source: Column, seed: str) -> Column:
     """The random offset of a source, from 0 to 1."""
-    return int(hashlib.md5(f"{seed}|{source}".encode()).hexdigest()[:8], 16) / 2**32
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), source)), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
 def level_of(size: Column, target: Column) -> Column:
@@ -60,72 +62,64 @@ def level_of(size: Column, target: Column) -> Column:
     return out
 
 
-def rates(large: list[tuple[int, int]], total: int, target: float, offsets: list[float], cap: int = CAP) -> list[float]:
-    """Expected copies of a document at each level of one source. large: (level, size) in order, without the last
-    level. A level aims at what the levels before it have left, so that they don't move the words taken."""
-    out, left, size = [], target, total
-    for level, off in enumerate(offsets):
-        out.append(min(max(left / size, 0.0), float(cap)) if size > 0 else 0.0)
-        own = [s for at, s in large if at == level]
-        left -= sum((math.floor(out[-1] * (i + 1.0) + off) - math.floor(out[-1] * float(i) + off)) * s for i, s in enumerate(own))
-        size -= sum(own)
-    return out
+def crossed(rate: Column, rank: Column, off: Column) -> Column:
+    """Whole numbers that the prefix sum of expected copies crosses over the document of a rank."""
+    upto = lambda k: F.floor(rate * k.cast("double") + off)
+    return (upto(rank) - upto(rank - 1)).cast("long")
 
 
 def draw(ws: Workspace, docs: DataFrame, columns: list[str], seed: str = "mix") -> DataFrame:
-    """docs (doc_id, source, size and the named columns) with source_size, target and copies.
+    """docs (doc_id, source, size, tie and the named columns) with source_size, target and copies.
 
     A source's documents fall into levels by their share of its target. Within a level they are put in the order (size
-    class, md5 of doc_id, size, doc_id), each is expected so many times, and is emitted once per whole number that
-    the prefix sum of these, plus the level's random offset, crosses over it. Levels are drawn from the largest
-    documents to the smallest and each aims at what is left, so the words taken stay near the target. At most
-    256 * source_size / target documents of a source, and so 512 for each source in the mean, are above the last level; the
-    driver holds their sizes to find the levels' rates.
+    class, md5 of doc_id and tie, size, doc_id), each is expected so many times, and is emitted once per whole number that
+    the prefix sum of these, plus the source's random offset, crosses over it. Levels are drawn from the largest
+    documents to the smallest and each aims at what those before it have left, so the words taken stay near the target
+    where few documents make up much of a source.
 
     The prefix sum runs in two steps, so a source of any size is dealt over many tasks: rows are counted by (source,
     level, size class, leading digits of the md5), with as many digits as the class is large; these counts are summed
-    up; then rows are numbered within these buckets.
+    up; then rows are numbered within these buckets. tie (of the text) deals rows of one doc_id, or of none, over buckets.
+    Nothing of a document comes to the driver, and what is broadcast is counted first.
     """
     bits = F.bin("size")
     keys = {
         "_src": F.when(F.col("source").isNull(), "~").otherwise(F.concat(F.lit("="), "source")),
         "_cls": F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 1, 3)),
-        "_md5": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))}
-    slim = ws.save(docs.select("doc_id", "source", "size").withColumns(keys), "sizes")
-    sources = slim.groupBy("_src").agg(F.sum("size").alias("words")).limit(MAX_SOURCES + 1).collect()
-    if len(sources) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = {r._src: r.words for r in sources}
-    goal = targets(sizes)
-    goals = ws.spark.createDataFrame([(s, sizes[s], goal[s]) for s in sizes], "_src string, source_size long, target double")
-    leveled = lambda df: df.join(F.broadcast(goals), "_src").withColumn("_level", level_of(F.col("size"), F.col("target")))
-    small = leveled(slim)
-    counted = small.groupBy("_src", "_level", "_cls").agg(F.count("*").alias("n")).collect()
-    large: dict[str, list] = defaultdict(list)
-    for r in small.where(F.col("_level") < len(LEVELS)).select("_src", "_level", "_cls", "_md5", "size").collect():
-        large[r._src].append((r._level, r._cls, r._md5, r.size))
-    offsets = {s: [offset(s, f"{seed}|{i}") for i in range(len(LEVELS) + 1)] for s in sizes}
-    rate = {s: rates([(x[0], x[3]) for x in sorted(large[s])], sizes[s], goal[s], offsets[s]) for s in sizes}
-    total = sum(r.n for r in counted)
+        "_md5": F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), "tie"))}
+    slim = ws.save(docs.select("doc_id", "source", "size", "tie").withColumns(keys), "sizes")
+    total = slim.count()
+    goals = ws.hinted(ws.save(targets(slim.groupBy("_src").agg(F.sum("size").alias("source_size"))), "targets"), 64)
+    leveled = lambda df: df.join(goals, "_src").withColumn("_level", level_of(F.col("size"), F.col("target")))
     most = max(1.0, total / max(BUCKETS, total / BUCKET_ROWS))
-    digits = lambda n: max(0, math.ceil(math.log(n / most, 16) - 1e-9)) if n > most else 0
-    rows = [(r._src, r._level, r._cls, digits(r.n), rate[r._src][r._level], offsets[r._src][r._level]) for r in counted]
-    plan = ws.spark.createDataFrame(rows, "_src string, _level int, _cls string, _digits int, _rate double, _off double")
-    bucketed = lambda df: df.join(F.broadcast(plan), ["_src", "_level", "_cls"]).withColumn("_bucket", F.expr("left(_md5, _digits)"))
-    counts = bucketed(small).groupBy("_src", "_level", "_cls", "_bucket").agg(F.count("*").alias("_n"))
-    # One row per bucket: these windows run over a table of bounded size, not over documents.
-    order = Window.orderBy("_src", "_level", "_cls", "_bucket")
-    running = counts.withColumn("_all", F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    new = (F.col("_src") != F.lag("_src", 1, "").over(order)) | (F.col("_level") != F.lag("_level", 1, -1).over(order))
-    based = running.withColumn("_new", F.when(new, F.col("_all")))
-    based = based.withColumn("_base", F.col("_all") - F.last("_new", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    bases = F.broadcast(based.select("_src", "_level", "_cls", "_bucket", "_base"))
+    digits = F.when(F.col("n") > most, F.ceil(F.log(16.0, F.col("n") / most) - 1e-9)).otherwise(0).cast("int")
+    # So many leading digits are looked at as there are; 32 digits tell any two documents apart.
+    kinds = leveled(slim).groupBy("_src", "_level", "_cls").agg(F.count("*").alias("n"))
+    plan = ws.hinted(ws.save(kinds.select("_src", "_level", "_cls", F.least(digits, F.lit(32)).alias("_digits")), "plan"), 64)
     by = ["_src", "_level", "_cls", "_bucket"]
-    ranked = bucketed(leveled(docs.withColumns(keys))).withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("_md5", "size", "doc_id")))
-    up = ranked.join(bases, by).withColumn("_rank", F.col("_rank") + F.col("_base"))
-    crossed = lambda rank: F.floor(F.col("_rate") * rank.cast("double") + F.col("_off"))
-    copies = (crossed(F.col("_rank")) - crossed(F.col("_rank") - 1)).cast("long")
-    return up.select(*columns, "size", "source_size", "target", copies.alias("copies"))
+    bucketed = lambda df: leveled(df).join(plan, ["_src", "_level", "_cls"]).withColumn("_bucket", F.expr("left(_md5, _digits)"))
+    counts = bucketed(slim).groupBy(*by).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_src", "_level").orderBy("_cls", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ws.hinted(ws.save(counts.select(*by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")), "bases"), 96)
+    within = Window.partitionBy(*by).orderBy("_md5", "size", "doc_id")
+    ranked = lambda df: df.withColumn("_k", F.row_number().over(within)).join(bases, by).withColumn("_rank", F.col("_k") + F.col("_base"))
+
+    # Ranks don't depend on rates, so the levels' rates follow from the large documents' ranks, one aggregate a level.
+    last = len(LEVELS)
+    large = ws.save(ranked(bucketed(slim).where(F.col("_level") < last)).select("_src", "_level", "_rank", F.col("size").alias("_words")), "large")
+    state = goals.select("_src", F.col("target").alias("_left"), F.col("source_size").alias("_size"), offset(F.col("_src"), seed).alias("_off"))
+    for i in range(last + 1):
+        rate = F.when(F.col("_size") > 0, F.least(F.greatest(F.col("_left") / F.col("_size"), F.lit(0.0)), F.lit(float(CAP)))).otherwise(0.0)
+        state = state.withColumn(f"_rate{i}", rate)
+        if i < last:
+            met = state.join(large.where(F.col("_level") == i).drop("_level"), "_src", "left").groupBy(*state.columns)
+            took = F.sum(crossed(F.col(f"_rate{i}"), F.col("_rank"), F.col("_off")) * F.col("_words")).cast("double")
+            sums = met.agg(F.coalesce(took, F.lit(0.0)).alias("_took"), F.coalesce(F.sum("_words"), F.lit(0)).alias("_gone"))
+            state = sums.withColumns({"_left": F.col("_left") - F.col("_took"), "_size": F.col("_size") - F.col("_gone")}).drop("_took", "_gone")
+    rates = ws.save(state.select("_src", "_off", F.array(*[F.col(f"_rate{i}") for i in range(last + 1)]).alias("_rates")), "rates")
+    drawn = ranked(bucketed(docs.withColumns(keys))).join(ws.hinted(rates, 96), "_src")
+    copies = crossed(F.element_at("_rates", F.col("_level") + 1), F.col("_rank"), F.col("_off"))
+    return drawn.select(*columns, "size", "source_size", "target", copies.alias("copies"))
 
 
 def mix(ws: Workspace, docs: DataFrame, seed: str = "mix") -> DataFrame:
@@ -138,7 +132,7 @@ def mix(ws: Workspace, docs: DataFrame, seed: str = "mix") -> DataFrame:
     names = [f"__mix_{i}" for i in range(len(docs.columns))]
     inner = docs.toDF(*names)
     at = {c: names[i] for i, c in enumerate(docs.columns)}
-    sized = inner.select(*names, F.col(at["doc_id"]).alias("doc_id"), F.col(at["source"]).alias("source"), size_of(F.col(at["text"])).alias("size"))
+    sized = inner.select(*names, F.col(at["doc_id"]).alias("doc_id"), F.col(at["source"]).alias("source"), size_of(F.col(at["text"])).alias("size"), tie_of(F.col(at["text"])).alias("tie"))
     drawn = draw(ws, sized, names, seed)
     return drawn.where("copies > 0").withColumn("_c", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*names).toDF(*docs.columns)
 
@@ -146,7 +140,7 @@ def mix(ws: Workspace, docs: DataFrame, seed: str = "mix") -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
     ws = Workspace(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", size_of(F.col("text")).alias("size"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", size_of(F.col("text")).alias("size"), tie_of(F.col("text")).alias("tie"))
     drawn = draw(ws, ws.save(docs, "words"), ["doc_id"])
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -155,7 +149,7 @@ def _sql(seed: str = "mix") -> str:
     """The same draw over whole tables, without buckets: levels one after the other."""
     head = r"""
 WITH s AS (SELECT doc_id, CASE WHEN source IS NULL THEN '~' ELSE '=' || source END AS src,
-  coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+  coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS tie FROM documents),
 t AS (SELECT src, sum(size)::BIGINT AS source_size FROM s GROUP BY src),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY src) - 1) % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS weight FROM t),
 o AS (SELECT *, 3 * source_size / weight AS ratio, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights FROM w),
@@ -164,14 +158,14 @@ l AS (SELECT *, coalesce(sum(3 * source_size) OVER q, 0) AS gone, coalesce(sum(w
 v AS (SELECT *, (total - gone)::DOUBLE / (weights - out)::DOUBLE AS level FROM l),
 f AS (SELECT (SELECT level FROM v WHERE level <= ratio ORDER BY ratio, src LIMIT 1) AS level, (SELECT min(ratio) FROM v WHERE level <= ratio) AS from_ratio),
 g AS (SELECT src, source_size, CASE WHEN f.level IS NULL OR ratio < f.from_ratio THEN (3 * source_size)::DOUBLE ELSE weight * f.level END AS target FROM v, f),
-k AS (SELECT *, row_number() OVER (PARTITION BY src, lvl ORDER BY lpad(length(bin(size))::VARCHAR, 2, '0') || left(bin(size), 3), md5(coalesce(doc_id::VARCHAR, '')), size, doc_id) AS rank
-      FROM (SELECT doc_id, src, size, source_size, target, CASE LEVELS ELSE LAST END AS lvl FROM s JOIN g USING (src))),
+k AS (SELECT *, row_number() OVER (PARTITION BY src, lvl ORDER BY lpad(length(bin(size))::VARCHAR, 2, '0') || left(bin(size), 3), md5(coalesce(doc_id::VARCHAR, '') || '|' || tie), size, doc_id) AS rank
+      FROM (SELECT doc_id, src, size, tie, source_size, target, CASE LEVELS ELSE LAST END AS lvl FROM s JOIN g USING (src))),
 r0 AS (SELECT src, target AS remaining, source_size AS size_left FROM g)"""
     head = head.replace("LEVELS", " ".join(f"WHEN size * {p} > target THEN {i}" for i, p in enumerate(LEVELS))).replace("LAST", str(len(LEVELS)))
     for i in range(len(LEVELS) + 1):
         head += f""",
 e{i} AS (SELECT k.*, remaining, size_left, CASE WHEN size_left > 0 THEN least(greatest(remaining / size_left, 0), {CAP}) ELSE 0 END AS rate,
-  ('0x' || substr(md5('{seed}|{i}|' || src), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS off FROM k JOIN r{i} USING (src) WHERE lvl = {i}),
+  ('0x' || substr(md5('{seed}|' || src), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS off FROM k JOIN r{i} USING (src) WHERE lvl = {i}),
 d{i} AS (SELECT *, (floor(rate * rank::DOUBLE + off) - floor(rate * (rank - 1)::DOUBLE + off))::BIGINT * size AS taken FROM e{i}),
 r{i + 1} AS (SELECT r{i}.src, remaining - coalesce(x.taken, 0) AS remaining, size_left - coalesce(x.size, 0) AS size_left
   FROM r{i} LEFT JOIN (SELECT src, sum(taken)::DOUBLE AS taken, sum(size)::BIGINT AS size FROM d{i} GROUP BY src) x USING (src))"""
