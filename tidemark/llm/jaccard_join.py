@@ -15,20 +15,24 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Workspace, components, pieces, table
-
-#: Up to this many differing elements, signatures are subsets of SUBSET parts; above, single parts with at least LEAST elements.
-SMALL, SUBSET, LEAST = 3, 3, 2
+from .shared import Workspace, components, map_batches, pieces, table
+
+#: A set leaves out projections of fewer elements, as far as spare parts allow: they agree by chance.
+LEAST = 2
+#: Shapes that are tried: differences allowed within a first-level part, second-level parts beyond these, and spare parts.
+DIFFER, SECOND, SPARE = (1, 2, 3), (2, 3), (0.0, 0.06, 0.125, 0.25, 0.5)
+#: What a projection without elements costs, in others, and what one of a single element costs.
+WEAK = (60, 6)
 #: Bits, at least, of the sketch that bounds how much two sets differ; larger sets have about as many as elements.
 BITS = 1024
-#: Sets of one signature that are compared in all pairs.
-FEW = 8
+#: Sets of one signature that are compared in all pairs, and those that a block of a common signature aims at.
+FEW, BLOCK = 8, 2048
 #: Growth of set sizes from one size code to the next.
 STEP = 1.05
 #: Signatures (of 16 bytes, sorted in memory) that one range aims at, and ranges for each shuffle partition at least.
-RANGE_ROWS, RANGES_PER_PARTITION = 2_000_000, 8
-#: Signatures that a task holds before it sends them on, in ranges.
-HELD = 1 << 19
+RANGE_ROWS, RANGES_PER_PARTITION = 500_000, 8
+#: Signatures that a task holds before it sends them on, in ranges, and rows that it sends at once.
+HELD, ROWS = 1 << 18, 1 << 14
 _U = np.uint64
 
 
@@ -66,7 +70,7 @@ class Bands:
 
     def __init__(self, percent: int):
         self.percent = percent
-        self.low, self.high, self.spares = [1], [max(1, 100 // percent)], {}
+        self.low, self.high, self.shapes = [1], [max(1, 100 // percent)], {}
         #: Size codes of similar sets differ by this at most.
         self.codes = math.ceil(math.log(100 / percent) / math.log(STEP))
 
@@ -79,53 +83,68 @@ class Bands:
     def bound(self, band: int) -> int:
         return self.high[band] * (100 - self.percent) // self.percent
 
-    def spare(self, band: int) -> int:
-        """Parts beyond bound + 1: about as many as have under LEAST elements in a set of the band's middle, but at most 0.6 (bound + 1)."""
-        if band not in self.spares:
-            k, t = self.bound(band) + 1, 0
-            while t < 0.6 * k:
-                mean = 0.9 * self.high[band] / (k + t)
-                weak = (k + t) * math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(LEAST))
-                if weak + 1.5 * math.sqrt(weak) <= t:
-                    break
-                t += 1
-            self.spares[band] = t
-        return self.spares[band]
+    def shape(self, band: int) -> Shape:
+        """How an instance deals its domain: of all shapes within the bound, the one that costs least for sets of its middle size."""
+        if band not in self.shapes:
+            k, size = self.bound(band), 0.9 * self.high[band]
+            found = []
+            for differ in DIFFER:
+                for extra in SECOND:
+                    for spare in {int(x * (k // (differ + 1) + 1)) for x in SPARE}:
+                        shape = Shape(k // (differ + 1) + 1 + spare, spare, differ + extra, differ)
+                        mean = size * extra / (shape.parts * shape.second)
+                        each, cost = len(shape.subsets), 0.0
+                        for c in range(1, LEAST + 1):
+                            weak = math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(c))
+                            # Parts with a projection of under c elements, beyond those that can be left out.
+                            hit = shape.parts * min(1.0, each * weak)
+                            cost += WEAK[c - 1] * each * max(0.0, hit + 1.5 * math.sqrt(hit) - spare)
+                        found.append((shape.parts * each + cost, shape.parts * each, differ, extra, shape))
+            self.shapes[band] = min(found, key=lambda x: x[:4])[4]
+        return self.shapes[band]
+
+
+class Shape:
+    """First-level parts, spare ones among them, second-level parts of each, and how many of these may differ."""
+
+    def __init__(self, parts: int, spare: int, second: int, differ: int):
+        self.parts, self.spare, self.second, self.differ = parts, spare, second, differ
+        #: The second-level parts of each projection: all but `differ`.
+        self.subsets = np.array(list(itertools.combinations(range(second), second - differ)))
 
 
 def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
     """64-bit signatures; any two different sets that are similar enough have one in common.
 
-    In an instance with a bound of k, the feature domain is dealt by hash into parts, and the sets differ in at most k of them.
-
-    For k up to SMALL there are k + SUBSET parts, so SUBSET parts at least are equal: all subsets of SUBSET parts are enumerated.
+    In an instance with a bound of k, two sets differ in at most k elements. The feature domain is dealt by hash into
+    first-level parts, and each of these into second-level parts. At most k // (differ + 1) first-level parts have over
+    `differ` differences, so of k // (differ + 1) + 1 + spare parts, more than `spare` have no more. In such a part at most
+    `differ` second-level parts differ, so some subset of all but `differ` of them is equal in both sets. All these
+    subsets are enumerated; a signature is the hash of a set's projection onto one.
 
-    Above, there are k + 1 + spare parts, so more than `spare` of them are equal. A set leaves out its parts of under c
-    elements, for the largest c up to LEAST that leaves out at most `spare` parts. Of two similar sets let the first have the larger c:
-    some equal part isn't among those that it leaves out, so it has c elements or more, and the second keeps it too. Small
-    parts agree by chance far more often than others, so few are wanted.
+    A set leaves out its projections of under c elements, for the largest c up to LEAST for which at most `spare` parts have
+    such projections. Of two similar sets let the first have the larger c: some part with an equal projection isn't
+    among those parts of it, so that projection has c elements or more, and the second set keeps it too.
 
     Where k is 0 only equal sets are similar, which need no signature.
     """
     out = []
     band = bands.of(len(elements))
     for instance in (band, band - 1):
-        if instance < 0 or not (k := bands.bound(instance)):
+        if instance < 0 or not bands.bound(instance):
             continue
-        small = k <= SMALL
-        parts = k + SUBSET if small else k + 1 + bands.spare(instance)
+        shape = bands.shape(instance)
         seed = _U((instance + 1) * 0xD6E8FEB86659FD93 % 2**64)
-        cell = (mix(elements ^ seed) % _U(parts)).astype(np.int64)
-        held = np.zeros(parts, np.uint64)
+        cells = shape.parts * shape.second
+        cell = (mix(elements ^ seed) % _U(cells)).astype(np.int64)
+        held = np.zeros(cells, np.uint64)
         np.add.at(held, cell, mix(elements + seed))
-        held = mix(held ^ mix(np.arange(parts, dtype=np.uint64) + seed))
-        if small:
-            chosen = np.array(list(itertools.combinations(range(parts), SUBSET)))
-            out.append(mix(held[chosen].sum(axis=1, dtype=np.uint64)))
-        else:
-            counts = np.bincount(cell, minlength=parts)
-            least = next(c for c in range(LEAST, -1, -1) if (counts < c).sum() <= parts - k - 1)
-            out.append(held[counts >= least])
+        project = lambda x: x.reshape(shape.parts, shape.second)[:, shape.subsets].sum(axis=2, dtype=x.dtype)  # noqa: B023, E731
+        hashes, counts = project(held), project(np.bincount(cell, minlength=cells))
+        hashes = mix(hashes ^ mix(np.arange(hashes.size, dtype=np.uint64).reshape(hashes.shape) + seed))
+        weakest = counts.min(axis=1)
+        least = next(c for c in range(LEAST, -1, -1) if (weakest < c).sum() <= shape.spare)
+        out.append(hashes[counts >= least])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -133,21 +152,33 @@ def size_code(size: int) -> int:
     return min(255, int(math.log(size) / math.log(STEP) + 1e-9))
 
 
-def node_of(elements: np.ndarray) -> int:
-    """A signed 64-bit name of a set: its size code and 56 bits of a hash. Equal sets have equal names."""
-    name = size_code(len(elements)) << 56 | int.from_bytes(hashlib.blake2b(elements.tobytes(), digest_size=7).digest(), "little")
-    return name - (1 << 64 if name >> 63 else 0)
+#: A set's name in tables: its size code and 88 bits of a hash, so that 10^10 sets of one size code have none in common
+#: but for one chance in some millions.
+NAME = np.dtype([("head", "<u8"), ("tail", "<u4")])
+
+
+def name_of(elements: np.ndarray) -> tuple[int, int]:
+    """A set's name: its size code with 56 bits of a hash, and 32 bits more. Equal sets have equal names."""
+    digest = hashlib.blake2b(elements.tobytes(), digest_size=11).digest()
+    return size_code(len(elements)) << 56 | int.from_bytes(digest[:7], "little"), int.from_bytes(digest[7:], "little")
+
+
+def packed(names: np.ndarray) -> pa.Array:
+    """Names (n, 2) as bytes."""
+    raw = np.empty(len(names), NAME)
+    raw["head"], raw["tail"] = names[:, 0], names[:, 1]
+    return pa.Array.from_buffers(pa.binary(NAME.itemsize), len(names), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
 
 
-def sketch(elements: np.ndarray) -> list[int]:
-    """Parities of the numbers of elements in buckets, a power of two of them, at least BITS.
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of elements in buckets, a power of two of them, at least BITS, in words of 64 bits.
 
     Two sets differ in at least as many elements as their sketches in bits. Halves laid over each other, by exclusive
     or, are the sketch of half as many buckets.
     """
     bits = max(BITS, 1 << math.ceil(math.log2(len(elements) / 1.4))) if len(elements) else BITS
     odd = np.bincount((elements >> _U(20)).astype(np.int64) & (bits - 1), minlength=bits).astype(np.uint8) & 1
-    return np.packbits(odd).view(np.int64).tolist()
+    return np.packbits(odd).view(np.int64)
 
 
 def may_be_similar(percent: int, a: str, b: str) -> Column:
@@ -177,18 +208,18 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 class Met:
-    """Sets that share signatures: rows (sig, node), each once, in order of signature and size.
+    """Sets that share signatures: rows (sig, name), each once, in order of signature and size.
 
-    Nodes of one size stand in an order of the signature alone, so the members of a large group meet new neighbours in
+    Sets of one size stand in an order of the signature alone, so the members of a large group meet new neighbours in
     each signature that they share, and links soon join the group.
     """
 
-    def __init__(self, sig: np.ndarray, node: np.ndarray, codes: int):
-        order = np.lexsort((node, mix(node ^ sig), node >> _U(56), sig))
-        sig, node = sig[order], node[order]
-        new = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))[: len(sig)]
-        self.sig, self.node, self.codes = sig[new], node[new], codes
-        self.code = (self.node >> _U(56)).astype(np.int64)
+    def __init__(self, sig: np.ndarray, name: np.ndarray, codes: int):
+        order = np.lexsort((name[:, 1], name[:, 0], mix(name[:, 1] ^ sig), name[:, 0] >> _U(56), sig))
+        sig, name = sig[order], name[order]
+        new = np.append(True, (sig[1:] != sig[:-1]) | (name[1:] != name[:-1]).any(axis=1))[: len(sig)]
+        self.sig, self.name, self.codes = sig[new], name[new], codes
+        self.code = (self.name[:, 0] >> _U(56)).astype(np.int64)
         first = np.append(True, self.sig[1:] != self.sig[:-1])[: len(self.sig)]
         start = np.flatnonzero(first)
         group = np.cumsum(first) - 1
@@ -208,71 +239,82 @@ class Met:
         return np.concatenate(left), np.concatenate(right)
 
 
-NAMES = ["kind", "part", "id", "a", "b", "sig", "bits", "data"]
-SCANNED = "kind int, part int, id long, a long, b long, sig long, bits array<long>, data binary"
+NAMES = ["kind", "part", "id", "a", "b", "sig", "size", "bits", "data"]
+TYPES = {"id": pa.int64(), "a": pa.binary(), "b": pa.binary(), "sig": pa.int64(), "size": pa.int64(), "bits": pa.list_(pa.int64()), "data": pa.binary()}
+SCANNED = "kind int, part int, id long, a binary, b binary, sig long, size long, bits array<long>, data binary"
 
 
-def _rows(kind: int, part: np.ndarray, **columns: object) -> pa.RecordBatch:
-    types = {"id": pa.int64(), "a": pa.int64(), "b": pa.int64(), "sig": pa.int64(), "bits": pa.list_(pa.int64()), "data": pa.binary()}
+def _rows(kind: int, part: np.ndarray, **columns: pa.Array) -> pa.RecordBatch:
     n = len(part)
-    rest = [columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in types.items()]
+    rest = [columns[c] if c in columns else pa.nulls(n, t) for c, t in TYPES.items()]
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(part.astype(np.int32)), *rest], NAMES)
 
 
-def _links(met: Met, left: np.ndarray, right: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+def _links(met: Met, left: np.ndarray, right: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of candidates; the signature is named where it has more pairs than these."""
-    sig = pa.array(met.sig[left].view(np.int64), mask=~met.many[left])
-    return _rows(1, part, a=met.node[left].view(np.int64), b=met.node[right].view(np.int64), sig=sig)
+    for i in range(0, len(left), ROWS):
+        x, y = left[i : i + ROWS], right[i : i + ROWS]
+        yield _rows(1, part[i : i + ROWS], a=packed(met.name[x]), b=packed(met.name[y]), sig=pa.array(met.sig[x].view(np.int64), mask=~met.many[x]))
 
 
 def _scan(n: int, percent: int, ranges: int):
     """Documents -> rows of sets, links of a task's own signatures, and signatures packed by range.
 
-    kind 0: (id, a = node, b = size, bits); kind 1: (a, b, sig), candidates; kind 2: (part = range of signatures, data = signatures
-    and their nodes). Of many sets of a task with one signature, one of each size code is sent on, and FEW + 1 at least, so that
+    kind 0: (id, a = name, size, bits); kind 1: (a, b, sig), candidates; kind 2: (part = range of signatures, data = signatures
+    and their names). Of many sets of a task with one signature, one of each size code is sent on, and FEW + 1 at least, so that
     it has many in its range too; the task itself makes its neighbours candidates.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         width = _U((1 << 64) // ranges + 1)
-        held, nodes, count, known = [], [], 0, set()
+        # A signature goes on as its range and 32 bits: two that are taken for one only make a candidate more.
+        coded = lambda sig: sig // width << _U(32) | sig & _U(0xFFFFFFFF)
+        held, names, count, known = [], [], 0, set()
 
         def flush():
-            nonlocal held, nodes, count
+            nonlocal held, names, count
             if not held:
                 return
-            met = Met(np.concatenate(held), np.concatenate(nodes), bands.codes)
-            held, nodes, count = [], [], 0
+            name = np.repeat(np.array(names, np.uint64), [len(x) for x in held], axis=0)
+            met = Met(coded(np.concatenate(held)), name, bands.codes)
+            held, names, count = [], [], 0
             known.clear()
             left, right = met.pairs()
             own = met.many[left]
             if own.any():
-                yield _links(met, left[own], right[own], met.sig[left[own]] // width)
+                yield from _links(met, left[own], right[own], met.sig[left[own]] >> _U(32))
             sent = ~met.many | met.begins | (met.place <= FEW)
-            sig, node = met.sig[sent], met.node[sent]
-            part = (sig // width).astype(np.int64)
+            sig, name = met.sig[sent], met.name[sent]
+            part = (sig >> _U(32)).astype(np.int64)
             cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            data = [sig[i:j].tobytes() + node[i:j].tobytes() for i, j in zip(cut, np.append(cut[1:], len(sig)), strict=True)]
-            yield _rows(2, part[cut], data=data)
+            ends = np.append(cut[1:], len(sig))
+            for k in range(0, len(cut), ROWS):
+                data = [sig[i:j].astype("<u4").tobytes() + name[i:j, 0].tobytes() + name[i:j, 1].astype("<u4").tobytes() for i, j in zip(cut[k : k + ROWS], ends[k : k + ROWS], strict=True)]
+                yield _rows(2, part[cut[k : k + ROWS]], data=pa.array(data, pa.binary()))
 
         for batch in pieces(batches):
-            ids, named, sizes, bits = batch.column(0).to_pylist(), [], [], []
+            found, sizes, bits = [], [], []
             for text in batch.column(1).to_pylist():
                 e = shingles(text, n)
                 sizes.append(len(e))
-                named.append(node_of(e) if len(e) else None)
-                bits.append(sketch(e) if len(e) else None)
-                if len(e) and named[-1] not in known:
-                    known.add(named[-1])
+                name = name_of(e) if len(e) else (0, 0)
+                found.append(name)
+                bits.append(sketch(e) if len(e) else np.zeros(0, np.int64))
+                if len(e) and name not in known:
+                    known.add(name)
                     s = signatures(e, bands)
                     if len(s):
                         held.append(s)
-                        nodes.append(np.full(len(s), named[-1], np.int64).view(np.uint64))
+                        names.append(name)
                         count += len(s)
                 if count >= HELD:
                     yield from flush()
-            yield _rows(0, np.arange(len(ids)) % ranges, id=ids, a=named, b=sizes, bits=bits)
+            size = np.array(sizes, np.int64)
+            name = packed(np.array(found, np.uint64)).filter(pa.array(size > 0))
+            name = name.take(pa.array(np.cumsum(size > 0) - 1, mask=size == 0))
+            words = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in bits])).astype(np.int32)), pa.array(np.concatenate(bits)))
+            yield _rows(0, np.arange(len(sizes)) % ranges, id=batch.column(0), a=name, size=pa.array(size), bits=words)
         yield from flush()
 
     return run
@@ -286,25 +328,27 @@ def _meet(percent: int):
         at, held = None, []
 
         def close():
-            sig = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 16) for x in held])
-            node = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 16, len(x) // 2) for x in held])
-            met = Met(sig, node, codes)
+            low, head, tail = ([np.frombuffer(x, kind, len(x) // 16, len(x) // 16 * skip) for x in held] for kind, skip in (("<u4", 0), ("<u8", 4), ("<u4", 12)))
+            sig = np.concatenate(low).astype(np.uint64) | _U(at << 32)
+            name = np.column_stack([np.concatenate(head), np.concatenate(tail).astype(np.uint64)])
+            held.clear()
+            met = Met(sig, name, codes)
             left, right = met.pairs()
-            return _links(met, left, right, np.full(len(left), at))
+            yield from _links(met, left, right, np.full(len(left), at))
 
         for batch in batches:
             kinds = batch.column(0).to_numpy()
             if (kinds < 2).any():
                 yield batch.filter(pa.array(kinds < 2))
-            packed = batch.filter(pa.array(kinds == 2))
-            for part, data in zip(packed.column(1).to_pylist(), packed.column(7).to_pylist(), strict=True):
+            packs = batch.filter(pa.array(kinds == 2))
+            for part, data in zip(packs.column(1).to_pylist(), packs.column(8).to_pylist(), strict=True):
                 if part != at:
                     if held:
-                        yield close()
-                    at, held = part, []
+                        yield from close()
+                    at = part
                 held.append(data)
         if held:
-            yield close()
+            yield from close()
 
     return run
 
@@ -327,12 +371,13 @@ def _verify(n: int, percent: int):
 
 
 def _pack(n: int):
-    """(node, text) -> compressed texts of nodes, of rows where the text is the node's."""
+    """(node, name, text) -> compressed texts of nodes, of rows where the text is the node's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zipped = zstandard.ZstdCompressor(level=3)
         for x in pieces(batches):
-            own = [(k, zipped.compress(t.encode("utf-8", "surrogatepass"))) for k, t in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True) if t and node_of(shingles(t, n)) == k]
+            rows = zip(*(x.column(k).to_pylist() for k in range(3)), strict=True)
+            own = [(k, zipped.compress(t.encode("utf-8", "surrogatepass"))) for k, name, t in rows if t and name == np.array(name_of(shingles(t, n)), NAME).tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), pa.array([b for _, b in own], pa.binary())], ["node", "blob"])
 
     return run
@@ -359,35 +404,38 @@ def join_groups(ws: Workspace, docs: DataFrame, n: int, percent: int, id_col: st
     sets are one node, whatever their number. Null ids and repeated rows each give a row; a null id names no
     component unless it stands alone. Only the two columns are read. An empty table gives no rows.
 
-    One pass over the texts makes the nodes and their signatures, in packed ranges: only there are signatures
+    One pass over the texts makes the sets and their signatures, in packed ranges: only there are signatures
     shuffled, as bytes, and of many sets of a task with one signature and size one is sent. Sets that share a signature
     with more than FEW others are candidates in chains in order of size, not in all pairs; sizes and sketches drop most that aren't similar, and exact similarity of the whole sets
     decides. Where a candidate fails and its ends aren't joined by other links, the other pairs of
-    its signature that sizes and sketches allow are tried too, so no link between components is lost. No group is held
+    its signature that sizes and sketches allow are tried too, so no link between components is lost: a common signature
+    is dealt into blocks of about BLOCK sets, and each pair of blocks is a join key of its own. No group is held
     by a task: candidates, texts and labels meet in joins that adaptive execution can split.
     """
     spark = ws.spark
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # Signatures of a set are about 2.2 * (1 - s) / s times its elements; a word takes some six characters.
+    # Signatures of a set are some 3 * (1 - s) / s times its elements; a word takes some six characters.
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    ranges = max(RANGES_PER_PARTITION * partitions, int(chars / 6 * 2.2 * (100 - percent) / percent / RANGE_ROWS))
-    scanned = rows.mapInArrow(_scan(n, percent, ranges), SCANNED)
-    met = ws.save(scanned.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_meet(percent), SCANNED), "met")
+    ranges = max(RANGES_PER_PARTITION * partitions, int(chars / 6 * 3 * (100 - percent) / percent / RANGE_ROWS))
+    scanned = map_batches(rows, _scan(n, percent, ranges), SCANNED)
+    met = ws.save(map_batches(scanned.repartition(partitions, "part").sortWithinPartitions("part"), _meet(percent), SCANNED), "met")
     del scanned
     ws.tidy()
-    sets = met.where("kind = 0").select("id", F.col("a").alias("node"), F.col("b").cast("long").alias("size"), "bits")
-    tried = met.where("kind = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sig")
-    classes = ws.save(sets.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.any_value("size").alias("size"), F.any_value("bits").alias("bits")), "classes")
-    candidates = ws.save(tried.select("a", "b").distinct(), "candidates")
-    side = lambda c: classes.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("bits").alias(f"{c}_bits"))
+    sets = met.where("kind = 0").select("id", F.col("a").alias("name"), "size", "bits")
+    tried = met.where("kind = 1").select(F.least("a", "b").alias("a_name"), F.greatest("a", "b").alias("b_name"), "sig")
+    classes = sets.where("name is not null").groupBy("name").agg(F.min("id").alias("first"), F.any_value("size").alias("size"), F.any_value("bits").alias("bits"))
+    # Numbers of nodes hold from here on, as the table is written once.
+    classes = ws.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    candidates = ws.save(tried.select("a_name", "b_name").distinct(), "candidates")
+    side = lambda c: classes.select(F.col("name").alias(f"{c}_name"), F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("bits").alias(f"{c}_bits"))
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         """Compressed texts of the pairs' nodes, one each."""
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        chosen = ws.save(classes.where("first is not null").join(wanted, "node").select("node", F.col("first").alias("id")), "chosen")
-        texts = rows.join(ws.hinted(chosen), "id").select("node", "text")
-        return ws.save(texts.mapInArrow(_pack(n), "node long, blob binary").dropDuplicates(["node"]), "texts")
+        chosen = ws.save(classes.where("first is not null").join(wanted, "node").select("node", "name", F.col("first").alias("id")), "chosen")
+        texts = rows.join(ws.hinted(chosen, 64), "id").select("node", "name", "text")
+        return ws.save(map_batches(texts, _pack(n), "node long, blob binary").dropDuplicates(["node"]), "texts")
 
     def settle(close: DataFrame, label: DataFrame) -> DataFrame:
         """Components after all pairs that join two of them have been compared, as far as they're similar.
@@ -403,32 +451,38 @@ def join_groups(ws: Workspace, docs: DataFrame, n: int, percent: int, id_col: st
             if tried.isEmpty():
                 break
             both = tried.join(blob("b"), "b").join(blob("a"), "a").select("a", "b", "a_blob", "b_blob")
-            good = ws.save(both.mapInArrow(_verify(n, percent), "a long, b long, good boolean").where("good").select("a", "b"), "links")
+            good = ws.save(map_batches(both, _verify(n, percent), "a long, b long, good boolean").where("good").select("a", "b"), "links")
             if not good.isEmpty():
                 label = components(ws, label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(good))
         return label
 
-    close = candidates.join(side("b"), "b").join(side("a"), "a").where(may_be_similar(percent, "a", "b")).select("a", "b")
-    label = settle(ws.save(close, "close"), spark.createDataFrame([], "node long, component long"))
-    apart = candidates.join(_at(label, "a"), "a", "left").join(_at(label, "b"), "b", "left").where("coalesce(a_c, a) <> coalesce(b_c, b)").select("a", "b")
+    near = may_be_similar(percent, "a", "b").alias("near")
+    met_pairs = ws.save(candidates.join(side("b"), "b_name").join(side("a"), "a_name").select("a_name", "b_name", "a", "b", near), "pairs")
+    label = settle(met_pairs.where("near").select("a", "b"), spark.createDataFrame([], "node long, component long"))
+    apart = met_pairs.join(_at(label, "a"), "a", "left").join(_at(label, "b"), "b", "left").where("coalesce(a_c, a) <> coalesce(b_c, b)").select("a_name", "b_name")
     # Signatures of few sets have no other pairs, and are null here.
-    unsettled = ws.save(tried.where("sig is not null").join(apart, ["a", "b"]).select("sig").distinct(), "open")
+    unsettled = ws.save(tried.where("sig is not null").join(apart, ["a_name", "b_name"]).select("sig").distinct(), "open")
     if not unsettled.isEmpty():
         ends = tried.join(unsettled, "sig")
-        members = ends.select("sig", F.col("a").alias("x")).union(ends.select("sig", F.col("b").alias("x"))).distinct()
-        full = members.join(side("x"), "x").join(_at(label, "x"), "x", "left").withColumn("x_c", F.coalesce("x_c", "x"))
+        members = ends.select("sig", F.col("a_name").alias("x_name")).union(ends.select("sig", F.col("b_name").alias("x_name"))).distinct()
+        full = members.join(side("x"), "x_name").join(_at(label, "x"), "x", "left").withColumn("x_c", F.coalesce("x_c", "x")).drop("x_name")
         full = ws.save(full, "members")
-        other = full.select(F.col("sig").alias("y_sig"), *[F.col(c).alias("y" + c[1:]) for c in full.columns if c != "sig"])
-        pairs = full.join(other, (F.col("sig") == F.col("y_sig")) & (F.col("x") < F.col("y")) & (F.col("x_c") != F.col("y_c")) & may_be_similar(percent, "x", "y"))
-        pairs = pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().join(candidates, ["a", "b"], "left_anti")
-        more = ws.save(pairs, "close-again")
+        blocks = full.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+        dealt = full.join(blocks, "sig", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        dealt = dealt.withColumn("x_block", F.pmod(F.xxhash64("x"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        left = dealt.withColumnRenamed("other", "y_block").drop("blocks")
+        right = dealt.select(F.col("other").alias("x_block"), F.col("x_block").alias("y_block"), "sig", *[F.col(c).alias("y" + c[1:]) for c in ("x", "x_size", "x_bits", "x_c")])
+        pairs = left.join(right, ["sig", "x_block", "y_block"]).where((F.col("x") < F.col("y")) & (F.col("x_c") != F.col("y_c")) & may_be_similar(percent, "x", "y"))
+        pairs = pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        known = met_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = ws.save(pairs.join(known, ["a", "b"], "left_anti"), "close-again")
         if not more.isEmpty():
             label = settle(more, label)
     # The smallest id of each component, then of each node.
-    of_node = classes.join(label, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    of_node = classes.join(label, "node", "left").select("name", "first", F.coalesce("component", "node").alias("component"))
     least = ws.save(of_node.groupBy("component").agg(F.min("first").alias("least")), "least")
-    final = ws.save(of_node.join(least, "component").select("node", "least"), "final")
-    out = sets.join(final, "node", "left")
+    final = ws.save(of_node.join(least, "component").select("name", "least"), "final")
+    out = sets.drop("bits").join(final, "name", "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
