@@ -48,6 +48,17 @@ def test_language_id(spark, edges, none):
     assert {r.lang_pred for r in L.identify(edges, {}).collect()} == {"und"}
 
 
+def test_the_sample_is_of_whole_texts_and_bounded(spark, monkeypatch):
+    text = b" ".join(b"%05d" % i for i in range(1000))
+    got = L.snippets(text)
+    assert len(got) <= L.SAMPLE_BYTES + L.SNIPPETS and got[:5] == text[:5] and got[-5:] == text[-5:] and b" 0033" in got and b" 0066" in got
+    rows = [(1, f"river {i} the house") for i in range(3000)] + [(i, f"das haus {i} unter", ) for i in range(2, 20)]
+    docs = spark.createDataFrame([(i, t, "aa" if i == 1 else "bb") for i, t in rows], f"{DOCS}, lang string")
+    monkeypatch.setattr(L, "SAMPLE_BYTES", 64)
+    d = L.learn(docs.union(docs))
+    assert d["aa"].count(b"river") <= L.SAMPLE_DOCS and d["bb"].count(b"haus") == 18
+
+
 def test_language_id_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     found = L.op1_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
@@ -77,28 +88,42 @@ def test_toxicity(spark, edges, none):
     assert T.score(new, nothing, ["doc_id"]).first().score == 0.5
 
 
-def test_swaps_take_the_weight_from_group_mentions(spark):
-    """Labels go with a group's name by accident; under the penalty its mention weighs about as much as another group's."""
+def test_swaps_take_the_weight_from_group_mentions(spark, monkeypatch):
+    """Labels go with a group's name by accident. Under the shipped penalty neutral mentions of it are no longer taken for toxic."""
     r = random.Random(5)
-    texts = []
-    for i in range(400):
+    clean, texts = ["river", "house", "stone", "walks", "green", "market", "garden", "bridge"], []
+    some = lambda n: " ".join(r.choice(clean) for _ in range(n))
+    for i in range(600):
         toxic = i % 4 == 0
-        group = "muslim" if r.random() < (0.8 if toxic else 0.1) else "christian"
-        texts.append((f"{prose(['river', 'house', 'stone', 'walks', 'green'], 12, i)} {group} {'scum' if toxic and i % 8 == 0 else 'market'}", int(toxic)))
+        group = "muslim" if r.random() < (0.7 if toxic else 0.1) else r.choice(["christian", "jewish", ""])
+        texts.append((f"{some(8)} {group} {'scum' if toxic and r.random() < 0.7 else ''} {some(4)}", int(toxic)))
     docs, labels = labelled(spark, texts)
-    gaps = []
-    for penalty in (0.0, T.SWAP_PENALTY * 50):
-        old, T.SWAP_PENALTY = T.SWAP_PENALTY, penalty
-        try:
-            model = T.learn(Workspace(spark), docs, labels)
-        finally:
-            T.SWAP_PENALTY = old
-        a, b = model.scores(["a muslim at the market", "a christian at the market"], model.reader())
+    neutral = [f"{some(6)} muslim {some(3)}" for _ in range(200)]
+    wrong, gaps, caught = [], [], []
+    for penalty in (0.0, T.SWAP_PENALTY):
+        monkeypatch.setattr(T, "SWAP_PENALTY", penalty)
+        model = T.learn(Workspace(spark), docs, labels)
+        wrong.append((model.scores(neutral, model.reader()) >= T.THRESHOLD).mean())
+        a, b, scum = model.scores(["a muslim at the market", "a christian at the market", "muslim scum"], model.reader())
         gaps.append(abs(a - b))
-    assert gaps[0] > 0.2 and gaps[1] < gaps[0] / 4
+        caught.append(scum >= T.THRESHOLD)
+    assert wrong[0] > 0.5 and wrong[1] < 0.05 and gaps[1] < gaps[0] / 4 and all(caught)
     assert T.swapped("the women and the river") == "the men and the river" and T.swapped("mention") is None
 
 
+def test_toxicity_learns_from_each_id_once(spark, monkeypatch):
+    """However often an id comes, one of its texts is learned from; columns may be named like the score."""
+    seen = []
+    fit = T.fit
+    monkeypatch.setattr(T, "fit", lambda rows, *rest: (seen.append(len(rows)), fit(rows, *rest))[1])
+    rows = [(1, f"copy {i} idiot") for i in range(3000)] + [(i, f"some river number {i}") for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = T.learn(Workspace(spark), docs, spark.createDataFrame([(i, int(i == 1 or i % 3 == 0)) for i in range(1, 40)], "doc_id long, toxic int"))
+    assert seen in ([39], []) and (seen or not model.features)
+    clash = T.score(docs.selectExpr("doc_id", "text", "'x' as score").limit(5), model, ["doc_id", "score"])
+    assert clash.columns == ["doc_id", "score", "score"] and len(clash.collect()) == 5
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     x = T.op2_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
@@ -112,8 +137,7 @@ def test_token_attribution(spark, edges, none):
     import public_tokenizers
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    text = "Stra\u00dfe \U0001f600 one\n\ntwo  \n three\u4e2d\n"
+    text = "Stra\u00dfe \U0001f600 one\n\ntwo <|endoftext|> \n three\u4e2d\n"
     frame = spark.createDataFrame([(1, text)], DOCS)
     offsets = [o for o in tok.encode(text, add_special_tokens=False).offsets]
     cuts = A.line_spans(text)
@@ -123,7 +147,7 @@ def test_token_attribution(spark, edges, none):
         assert sum(r.n_tokens for r in got) == pytest.approx(len(offsets)) and {r.doc_tokens for r in got} == {len(offsets)}
     encode, n = P.encoder(), None
     lengths = np.array([len(encode.decode_single_token_bytes(i)) for i in range(encode.n_vocab)])
-    starts, ends = A.token_spans(text, encode.encode_to_numpy(text), lengths)
+    starts, ends = A.token_spans(text, P.ids_of(text), lengths)
     assert list(zip(starts.tolist(), ends.tolist())) == offsets
     first = np.zeros(len(cuts) - 1)
     for s, _ in offsets:
@@ -143,11 +167,35 @@ def test_allocation_rules():
     assert A.allocate(cuts, s, e, "first")[1].tolist() == [1, 0, 0]
 
 
+def test_attribution_against_the_tokenizer(spark):
+    """Whole documents: tokens of each line, counted by hand from the tokenizer's own offsets."""
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {}
+    for r in A.op5_token_attribution(spark, "/root/testdata/sf0.001").collect():
+        got.setdefault(r.doc_id, []).append((r.section, r.start, r.end, r.n_tokens, r.doc_tokens))
+    for r in docs.select("doc_id", "text").collect():
+        offsets = tok.encode(r.text or "", add_special_tokens=False).offsets
+        lines = (r.text or "").split("\n")
+        ends = np.cumsum([len(x) + 1 for x in lines])
+        counts = np.bincount(np.searchsorted(ends, [s for s, _ in offsets], "right"), minlength=len(lines))
+        rows = sorted(got[r.doc_id])
+        assert [x[3] for x in rows] == counts[: len(rows)].tolist() and counts[len(rows) :].sum() == 0 and {x[4] for x in rows} == {len(offsets)}
+
+
 def test_field_tokens(spark):
     rows = spark.createDataFrame([(1, "a title", "a longer body"), (2, None, "body"), (3, None, None)], "id long, title string, body string")
     out = A.count_field_tokens(rows, ["title", "body"], "id").orderBy("id", "section").collect()
     assert [(r.id, r.section, r.end - r.start) for r in out] == [(1, 0, 8), (1, 1, 13), (2, 0, 1), (2, 1, 4), (3, 0, 1), (3, 1, 0)]
     assert all(sum(r.n_tokens for r in out if r.id == i) == next(r.doc_tokens for r in out if r.id == i) for i in (1, 2, 3))
+    more = spark.createDataFrame([(1, "a title", "body", "x"), (1, "a title", "body", "x"), (None, "\x00 <|endoftext|>", "y" * 200_000, "x")], "id long, title string, body string, section string")
+    assert A.count_field_tokens(more, ["title", "body"], "id").count() == 6 and A.count_field_tokens(more.limit(0), ["title", "body"], "id").count() == 0
+    with pytest.raises(ValueError):
+        A.count_field_tokens(more, ["title"], "id", "other")
 
 
 def whole(rows, texts, encode):
@@ -178,7 +226,6 @@ def test_packing_round_trip(spark):
     import public_tokenizers
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     sf = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     rows = P.op7_packing(spark, sf).collect()
@@ -202,13 +249,12 @@ def test_ids_are_the_tokenizers(spark):
     import public_tokenizers
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    encode = P.encoder()
+    assert P.ids_of("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
 
     @settings(max_examples=300, deadline=None)
-    @given(st.text(st.characters(exclude_categories=["Cs"]), max_size=60))
+    @given(st.lists(st.one_of(st.text(st.characters(exclude_categories=["Cs"]), max_size=30), st.just("<|endoftext|>")), max_size=4).map("".join))
     def same(t):
-        assert encode.encode_to_numpy(t, disallowed_special=()).tolist() == tok.encode(t, add_special_tokens=False).ids
+        assert P.ids_of(t).tolist() == tok.encode(t, add_special_tokens=False).ids
 
     same()
 
