@@ -133,12 +133,27 @@ def test_vectors_against_all_pairs(spark):
 def test_bounds_hold():
     r = np.random.default_rng(7)
     for scale in (1, 1e-200, 1e200):
-        q = E.Quantised(r.normal(size=(200, 64)) ** 3 * scale)
+        u = E.unit(r.normal(size=(200, 64)) ** 3 * scale)
+        q = E.Quantised.of(u)
         near = q.codes * q.scale[:, None]
-        assert np.all(np.abs(q.unit @ q.unit.T - near @ near.T) <= q.error[:, None] * q.size[None, :] + q.error[None, :])
+        assert np.all(np.abs(u @ u.T - near @ near.T) <= q.error[:, None] * q.size[None, :] + q.error[None, :])
         assert np.all(np.abs(q.codes) <= 127) and np.all(q.codes == np.rint(q.codes))
 
 
+def test_codes_leave_few_pairs_open():
+    """Sure pairs are links, pairs that aren't even possible are none, and few are left open."""
+    r = np.random.default_rng(8)
+    base = r.normal(size=(60, 64))
+    u = E.unit(np.concatenate([base + r.normal(size=base.shape) * s for s in (0, 0.1, 0.2, 0.3, 0.33, 0.36)]))
+    exact, seen = u @ u.T, np.zeros((len(u), len(u)), int)
+    q = E.Quantised.of(u)
+    for x, y, sure in E.possible_pairs(q, q, 0.95, True):
+        seen[x, y] = 1 + sure
+    upper = np.triu(np.ones_like(seen, bool), 1)
+    assert np.all(exact[seen == 2] >= 0.95) and np.all(exact[upper & (seen == 0)] < 0.95) and not seen[~upper].any()
+    assert 0 < (seen == 1).sum() < 0.01 * upper.sum()
+
+
 def test_collapse():
     nodes, low = collapse(np.array([5, 9, 2, 8]), np.array([9, 7, 2, 3]))
     assert dict(zip(nodes.tolist(), low.tolist())) == {2: 2, 3: 3, 5: 5, 7: 5, 8: 3, 9: 5}

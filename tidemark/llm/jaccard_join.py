@@ -435,7 +435,9 @@ def join_groups(ws: Workspace, docs: DataFrame, n: int, percent: int, id_col: st
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         chosen = ws.save(classes.where("first is not null").join(wanted, "node").select("node", "name", F.col("first").alias("id")), "chosen")
         texts = rows.join(ws.hinted(chosen, 64), "id").select("node", "name", "text")
-        return ws.save(map_batches(texts, _pack(n), "node long, blob binary").dropDuplicates(["node"]), "texts")
+        found = ws.save(map_batches(texts, _pack(n), "node long, blob binary").dropDuplicates(["node"]), "texts")
+        ws.drop(chosen)
+        return found
 
     def settle(close: DataFrame, label: DataFrame) -> DataFrame:
         """Components after all pairs that join two of them have been compared, as far as they're similar.
@@ -449,15 +451,21 @@ def join_groups(ws: Workspace, docs: DataFrame, n: int, percent: int, id_col: st
             out = close.join(_at(label, "a"), "a", "left").join(_at(label, "b"), "b", "left").where("coalesce(a_c, a) <> coalesce(b_c, b)").select("a", "b")
             tried = ws.save(_few(out) if few else out, "compared")
             if tried.isEmpty():
+                ws.drop(tried)
                 break
             both = tried.join(blob("b"), "b").join(blob("a"), "a").select("a", "b", "a_blob", "b_blob")
             good = ws.save(map_batches(both, _verify(n, percent), "a long, b long, good boolean").where("good").select("a", "b"), "links")
             if not good.isEmpty():
                 label = components(ws, label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(good))
+            ws.drop(tried)
+            ws.drop(good)
+            ws.tidy()
+        ws.drop(blobs)
         return label
 
     near = may_be_similar(percent, "a", "b").alias("near")
     met_pairs = ws.save(candidates.join(side("b"), "b_name").join(side("a"), "a_name").select("a_name", "b_name", "a", "b", near), "pairs")
+    ws.drop(candidates)
     label = settle(met_pairs.where("near").select("a", "b"), spark.createDataFrame([], "node long, component long"))
     apart = met_pairs.join(_at(label, "a"), "a", "left").join(_at(label, "b"), "b", "left").where("coalesce(a_c, a) <> coalesce(b_c, b)").select("a_name", "b_name")
     # Signatures of few sets have no other pairs, and are null here.
