@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import modulo_placement, ring_hash, sortable_int
+from tidemark.functions import crc_prefix, filter_positions, modulo_placement, ring_hash, sortable_float, sortable_int
 from tidemark.operators import observability, placement
 from tidemark.operators import versions as V
 
@@ -63,3 +63,99 @@ def test_hashes(spark):
     ints = [-(2**63), -5, -1, 0, 3, 9, 10, 100, 2**63 - 1]
     codes = [r.c for r in spark.createDataFrame([(i,) for i in ints], "i long").select("i", sortable_int("i").alias("c")).orderBy("i").collect()]
     assert codes == sorted(codes) and len(set(codes)) == len(ints)
+
+
+def test_float_codes_and_filter_positions(spark):
+    import random
+    import struct
+    import zlib
+
+    r = random.Random(3)
+    floats = [0.0, -0.0, 1.0, -1.0, float("inf"), float("-inf"), float("nan"), 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, 0.1, 3.0, 8.0, 1e22, *[2.0**k for k in range(-1074, 1024, 37)]]
+    floats += [struct.unpack(">d", struct.pack(">Q", r.getrandbits(64)))[0] for _ in range(2000)]
+    floats = [f for f in floats if f == f] + [float("nan")]
+
+    def code(f):
+        bits = struct.unpack(">Q", struct.pack(">d", f))[0]
+        return f"{bits ^ (2**64 - 1) if bits >> 63 else bits ^ 1 << 63:016x}"
+
+    got = spark.createDataFrame([(i, f) for i, f in enumerate(floats)], "i int, f double").select("i", sortable_float("f").alias("c")).collect()
+    assert {x.i: x.c for x in got} == {i: code(f) for i, f in enumerate(floats)}
+    for crc in (0, 1, 0x9E3779B9, 0xFFFFFFFF):
+        assert zlib.crc32(crc_prefix(crc)) == crc
+    keys = spark.createDataFrame([("alice",), ("",), ("\u00e9",)], "k string").select("k", filter_positions("k").alias("p")).collect()
+    assert all(x.p == [zlib.crc32(x.k.encode(), s * 0x9E3779B9 & 0xFFFFFFFF) % 10000 for s in range(3)] for x in keys)
+
+
+def test_replay_over_ranges(spark, monkeypatch):
+    """The same log in one range and in many gives the same rows, as a loop does; nothing is joined by a nested loop."""
+    import random
+
+    r, rows, state, held, open_ = random.Random(6), [], {}, {}, False
+    for seq in range(400):
+        op = r.choices(["BEGIN", "COMMIT", "SET", "DELETE"], [1, 1, 6, 2])[0]
+        key = f"k{r.randint(0, 30)}"
+        rows.append((seq * 3, op, None if op in ("BEGIN", "COMMIT") else key, str(seq) if op == "SET" else None))
+        if op == "BEGIN":
+            open_, held = True, {}
+        elif op == "COMMIT":
+            state.update(held)
+            open_, held = False, {}
+        elif open_:
+            held[key] = str(seq) if op == "SET" else None
+        else:
+            state[key] = str(seq) if op == "SET" else None
+    log = spark.createDataFrame(rows, "seq long, op string, key string, val string")
+    want = {k: v for k, v in state.items() if v is not None}
+    assert pairs(V.replay(log)) == want
+    monkeypatch.setattr(V, "RANGE_ROWS", 23)
+    out = V.replay(log)
+    plan = out._jdf.queryExecution().toString()
+    assert pairs(out) == want and "NestedLoop" not in plan and "CartesianProduct" not in plan
+    assert pairs(V.replay(log.limit(0))) == {}
+
+
+def test_sparse_index_over_ranges(spark, monkeypatch):
+    import random
+
+    keys = sorted({f"{random.Random(i).getrandbits(40):x}" for i in range(1000)})
+    frame = spark.createDataFrame([(k, 1) for k in keys], "k string, _range int").repartition(5)
+    want = [(k, i) for i, k in enumerate(keys) if i % 16 == 0]
+    for rows in (V.RANGE_ROWS, 90):
+        monkeypatch.setattr(V, "RANGE_ROWS", rows)
+        out = V.sparse_index(frame, "k", 16)
+        assert sorted(map(tuple, out.collect())) == want
+    assert "SinglePartition" not in out._jdf.queryExecution().toString() and V.sparse_index(frame.limit(0), "k", 16).count() == 0
+
+
+def test_ranks_of_wide_series(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [("a", r.lognormvariate(0, 5) * r.choice([-1, 1]), i) for i in range(900)] + [("b", 7.5, i) for i in range(50)] + [("c", float("inf"), 1), ("c", -0.0, 2), ("c", 5e-324, 3)]
+    df = spark.createDataFrame(rows, "series string, v double, seq long")
+    for newest in (None, ("seq", 100)):
+        got = {(x.series, x.p): x.value for x in observability.percentiles(df, "series", "v", [0, 50, 99, 100], newest).collect()}
+        for s in "abc":
+            own = sorted(v for x, v, q in sorted(rows, key=lambda x: -x[2]) if x == s) if not newest else sorted([v for x, v, q in sorted(rows, key=lambda x: -x[2]) if x == s][:100])
+            assert [got[s, float(p)] for p in (0, 50, 99, 100)] == [own[min(len(own) * p // 100, len(own) - 1)] for p in (0, 50, 99, 100)]
+
+
+def test_locks_and_clock(spark):
+    held = spark.createDataFrame([(1, "a", "S"), (2, "a", "S"), (1, "b", "S"), (3, "c", "X")], "txn long, key string, mode string")
+    asked = [(1, "a", "S", True), (1, "a", "X", False), (9, "a", "S", True), (1, "b", "X", True), (2, "b", "X", False), (2, "b", "S", True), (3, "c", "X", True), (3, "c", "S", True), (4, "c", "S", False), (4, "d", "X", True)]
+    got = V.locks(spark.createDataFrame([x[:3] for x in asked], "txn long, key string, mode string"), held).collect()
+    assert sorted(map(tuple, got)) == sorted(asked)
+    walls = [5, 3, 3, 10, 9, 10, 30, 1]
+    last, want = 0, []
+    for w in walls:
+        last = w if w > last else last + 1
+        want.append(last)
+    events = spark.createDataFrame([("n", i, w) for i, w in enumerate(walls)], "node string, seq long, wall long")
+    assert [x.hlc for x in V.hybrid_clock(events, "node", "seq", "wall").orderBy("seq").collect()] == want
+
+
+def test_waterfall(spark):
+    spans = spark.createDataFrame([("t", "a", 1000, 5000), ("t", "b", 2000, 3000), ("t", "c", 4990, 5000), ("u", "d", 7, 7)], "trace string, span string, start_us long, end_us long")
+    got = {x.span: (x.offset_us, x.duration_us, x.bar) for x in observability.waterfall(observability.span_offsets(spans)).collect()}
+    assert got == {"a": (0, 4000, "\u2588" * 40), "b": (1000, 1000, " " * 10 + "\u2588" * 10), "c": (3990, 10, " " * 39 + "\u2588"), "d": (0, 0, "\u2588")}

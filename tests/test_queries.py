@@ -28,7 +28,7 @@ def test_matches_sql(spark, sf, name):
     want = views(sf).execute(registry.SQL[name]).df()
     (a, x), (b, y) = rows(got), rows(want)
     assert a == b
-    assert len(x) == len(y)
+    assert len(x) == len(y) and (x or sf.endswith("0.001"))
     assert x == y
 
 
@@ -58,7 +58,7 @@ def test_rate_limit_is_a_token_bucket(spark, sf):
 
 
 def test_filters_reach_the_scan(spark, sf):
-    for name, column in (("index_range_gt", "l_quantity"), ("index_eq", "l_quantity"), ("repl_catchup", "event_id"), ("mvcc_snapshot", "event_id")):
+    for name, column in (("index_range_gt", "l_quantity"), ("index_eq", "l_quantity"), ("events_since", "event_id"), ("mvcc_snapshot", "event_id")):
         plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().toString()
         assert f"({column}," in plan.split("PushedFilters")[1], name
 

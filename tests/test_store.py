@@ -71,6 +71,7 @@ def test_snapshot_isolation_of_two_sessions(spark, root):
     a.execute("CREATE TABLE nums (id INT, n INT)")
     a.execute("INSERT INTO nums (id, n) VALUES (1, 5), (2, 100), (3, 9)")
     assert a.execute("CREATE INDEX idx_n ON nums(n)").count == 3
+    assert [tuple(r) for r in a.execute("SHOW INDEXES").rows.collect()] == [("idx_n", "nums", "n")] and a.execute("SHOW INDEXES ON nums").count == 1 and a.execute("SHOW INDEXES ON nope").message.startswith("ERROR")
     assert got(a, "SELECT * FROM nums WHERE n > 9") == [(2, 100)]
     assert a.execute("EXPLAIN SELECT * FROM nums WHERE n > 9").message.startswith("-- plan: full-scan")
     a.store.compact("nums")
@@ -161,8 +162,10 @@ def test_commands(spark, root):
     assert kv.execute("GET missing_key").wire() == "NOT_FOUND"
     assert kv.execute("SCAN c d").wire() == "ROW city New York\nROW country USA\nSCAN_END 2"
     assert kv.execute("FINDVAL A N").wire() == "ROW name Alice\nSCAN_END 1"
-    assert kv.execute("DELETE age").wire() == "OK" and kv.execute("GET age").wire() == "NOT_FOUND" and kv.execute("DEL age").wire() == "NOT_FOUND"
-    assert kv.execute("PING").wire() == "PONG" and kv.execute("HELP").status == "OK" and kv.execute("STATS").value.startswith("keys=4 versions=5")
+    assert kv.execute("DELETE age").wire() == "OK" and kv.execute("GET age").wire() == "NOT_FOUND" and kv.execute("DEL age").wire() == "OK"
+    assert kv.execute("SET motto carpe diem").wire() == "OK" and kv.execute("GET motto").wire() == "VALUE carpe diem" and kv.execute("DELETE motto").status == "OK"
+    assert kv.execute("QUIT now").wire() == "QUIT" and all(kv.execute(x).status == "ERROR" for x in ("SCAN z a", "FINDVAL z a", "SET 'a b' c", "SET a", "GET", "GET a b", "NOPE"))
+    assert kv.execute("PING").wire() == "PONG" and kv.execute("HELP").value.startswith("SET <key> <value...> | GET <key>") and kv.execute("STATS").status == "VALUE" and kv.execute("STATS").value.startswith("keys=5 versions=")
     for bad in ("", "NOPE", "GET", 'SET "x'):
         assert kv.execute(bad).status == "ERROR"
 

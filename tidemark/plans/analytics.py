@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import modulo_placement
 from ..operators import access, cluster, observability, placement
 from .base import HALF_SQL, Registry, half, last_event, table
 
@@ -73,9 +74,10 @@ def shard_sizes(spark, sf_dir):
 
 @_R.add("shard_total_keys", "SELECT count(DISTINCT c_name)::BIGINT AS keys FROM customer")
 def shard_total_keys(spark, sf_dir):
-    """Keys over all replicas, each once."""
-    keys = _keys(spark, sf_dir)
-    return keys.unionByName(keys).agg(F.countDistinct("key").alias("keys"))
+    """Keys over all replicas, each once: every key lies on two of three nodes."""
+    placed = placement.placement(spark, 6, ["node-1", "node-2", "node-3"], 2).select("shard", "node")
+    keys = _keys(spark, sf_dir).withColumn("shard", modulo_placement("key", 6).cast("int"))
+    return keys.join(F.broadcast(placed), "shard").agg(F.countDistinct("key").alias("keys"))
 
 
 @_R.add("placement", "SELECT i.range AS shard, j.range AS replica, ['node-1', 'node-2', 'node-3'][(i.range + j.range) % 3 + 1] AS node, j.range = 0 AS preferred FROM range(6) i, range(3) j")
@@ -95,6 +97,14 @@ def txn_cross_shard(spark, sf_dir):
     return keys.groupBy("txn").agg(F.countDistinct("shard").alias("shards")).withColumn("cross_shard", F.col("shards") > 1)
 
 
+@_R.add("txn_keys_by_shard", "SELECT l_orderkey AS txn, l_partkey % 6 AS shard, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey) AS keys FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) GROUP BY 1, 2")
+def txn_keys_by_shard(spark, sf_dir):
+    """The keys of each transaction, grouped by their shard: those of one shard are committed together."""
+    keys = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("txn"), (F.col("l_partkey") % 6).alias("shard"), F.col("l_partkey").alias("key"))
+    grouped = keys.groupBy("txn", "shard").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    return grouped.select("txn", "shard", F.array_join(F.col("keys").cast("array<string>"), ",").alias("keys"))
+
+
 # -------------------------------------------------------------------------------------------------- metrics
 def _samples(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("series"), F.col("value").alias("ms"))
@@ -118,6 +128,13 @@ def metric_percentile(spark, sf_dir):
     return observability.percentiles(_samples(spark, sf_dir), "series", "ms", [50, 95, 99, 99.9])
 
 
+@_R.add("metric_percentile_newest", f"WITH r AS (SELECT series, ms, row_number() OVER (PARTITION BY series ORDER BY ms) - 1 AS k, count(*) OVER (PARTITION BY series) AS n FROM (SELECT event_type AS series, value AS ms FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 10000)) SELECT series, p.p, ms AS value FROM r, (VALUES (50.0::DOUBLE), (99.0::DOUBLE)) p(p) WHERE k = least(floor(n * p.p / 100), n - 1)")
+def metric_percentile_newest(spark, sf_dir):
+    """Of the newest 10,000 samples of each series."""
+    samples = table(spark, sf_dir, "events").select(F.col("event_type").alias("series"), F.col("value").alias("ms"), "event_id")
+    return observability.percentiles(samples, "series", "ms", [50, 99], ("event_id", 10_000))
+
+
 @_R.add("metric_snapshot", f"SELECT series, n::BIGINT AS total, round(avg(ms), 3) AS mean_ms, " + ", ".join(f"round(max(CASE WHEN k = least(floor(n * {p}::DOUBLE / 100), n - 1) THEN ms END), 3) AS {c}" for p, c in ((50.0, "p50"), (95.0, "p95"), (99.0, "p99"), (99.9, "p999"))) + f" FROM {_RANKED} GROUP BY series, n")
 def metric_snapshot(spark, sf_dir):
     samples = _samples(spark, sf_dir)
@@ -190,11 +207,30 @@ def slowlog_full_scans(spark, sf_dir):
     return slowlog_record(spark, sf_dir).where("plan = 'FULL_SCAN'").select("seq", "query", "duration_ms")
 
 
-@_R.add("trace_duration", "SELECT event_id // 8 AS trace, count(*)::BIGINT AS spans, min(epoch_us(ts)) AS start_us, max(epoch_us(ts) + floor(value * 1000)::BIGINT) - min(epoch_us(ts)) AS duration_us FROM events GROUP BY 1")
-def trace_duration(spark, sf_dir):
+_SPANS = "(SELECT event_id // 8 AS trace, event_id AS span, epoch_us(ts) AS start_us, epoch_us(ts) + floor(value * 1000)::BIGINT AS end_us FROM events)"
+
+
+def _spans(spark, sf_dir):
     start = F.unix_micros(F.col("ts").cast("timestamp"))
-    spans = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 8).alias("trace"), start.alias("start_us"), (start + F.floor(F.col("value") * 1000).cast("long")).alias("end_us"))
-    return observability.trace_durations(spans)
+    return table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 8).alias("trace"), F.col("event_id").alias("span"), start.alias("start_us"), (start + F.floor(F.col("value") * 1000).cast("long")).alias("end_us"))
+
+
+@_R.add("trace_duration", f"SELECT trace, count(*)::BIGINT AS spans, min(start_us) AS start_us, max(end_us) - min(start_us) AS duration_us FROM {_SPANS} GROUP BY 1")
+def trace_duration(spark, sf_dir):
+    return observability.trace_durations(_spans(spark, sf_dir))
+
+
+_OFFSETS = f"(SELECT trace, span, start_us - min(start_us) OVER w AS offset_us, end_us - start_us AS duration_us, max(end_us) OVER w - min(start_us) OVER w AS total_us FROM {_SPANS} WINDOW w AS (PARTITION BY trace))"
+
+
+@_R.add("trace_spans", f"SELECT * FROM {_OFFSETS}")
+def trace_spans(spark, sf_dir):
+    return observability.span_offsets(_spans(spark, sf_dir))
+
+
+@_R.add("trace_waterfall", f"SELECT *, repeat(' ', floor(offset_us / greatest(total_us, 1) * 40)::INTEGER) || repeat('\u2588', greatest(1, floor(duration_us / greatest(total_us, 1) * 40)::INTEGER)) AS bar FROM {_OFFSETS}")
+def trace_waterfall(spark, sf_dir):
+    return observability.waterfall(trace_spans(spark, sf_dir))
 
 
 # ------------------------------------------------------------------------------------------------- cluster
@@ -289,8 +325,12 @@ def audit_tail(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type").orderBy(F.col("event_id").desc()).limit(25)
 
 
-@_R.add("rate_limit")
+@_R.add("rate_limit", """
+WITH RECURSIVE q AS (SELECT user_id AS usr, event_id AS seq, epoch_us(ts) / 1000000.0::DOUBLE AS at_s, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events),
+b AS (SELECT usr, seq, at_s, k, 9.0::DOUBLE AS tokens, TRUE AS allowed FROM q WHERE k = 1
+  UNION ALL SELECT usr, seq, at_s, k, CASE WHEN had >= 1 THEN had - 1.0::DOUBLE ELSE had END, had >= 1 FROM (SELECT q.usr, q.seq, q.at_s, q.k, least(10.0::DOUBLE, b.tokens + greatest(0.0::DOUBLE, q.at_s - b.at_s) * 0.0005::DOUBLE) AS had FROM b JOIN q ON q.usr = b.usr AND q.k = b.k + 1))
+SELECT usr AS user, seq, allowed, round(tokens, 6) AS tokens FROM b""")
 def rate_limit(spark, sf_dir):
-    """A token bucket is a fold in order; tests hold it against a plain loop."""
+    """A token bucket is a fold in order: each request depends on what the one before has left."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at_s"))
     return access.rate_limited(e, 0.0005, 10.0)

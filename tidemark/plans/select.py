@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import checksum, modulo_placement, ring_hash, ring_hash_signed, row_encoding, sortable_int
+from ..functions import checksum, filter_positions, modulo_placement, ring_hash, ring_hash_signed, row_encoding, sortable_float, sortable_int, sortable_text
 from .base import Registry, table
 
 _R = Registry()
@@ -37,20 +37,18 @@ _simple("filter_paren", "lineitem", LINE, "(l_quantity > 40 OR l_quantity < 5) A
 _simple("filter_colcol", "lineitem", LINE, "l_partkey < l_suppkey * 10 AND l_orderkey > l_partkey")
 _simple("filter_like", "part", ["p_partkey", "p_name", "p_type"], "p_name LIKE '%a%' AND p_brand LIKE 'Brand#_3'")
 _simple("filter_coerce", "orders", ["o_orderkey", "o_orderpriority"], "try_cast(substring(o_orderpriority, 1, 1) AS DOUBLE) <= 2")
-_simple("kv_scan", "customer", ["c_name AS key", "c_mktsegment AS value"], "c_name BETWEEN 'Customer#000000010' AND 'Customer#000000900'")
-_simple("kv_findval", "customer", ["c_name AS key", "c_mktsegment AS value"], "c_mktsegment BETWEEN 'B' AND 'G'")
+def _pairs(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_name").alias("key"), F.col("c_mktsegment").alias("value"))
 
 
-def _aliased(name: str) -> None:
-    source, cond = "customer", {"kv_scan": "c_name BETWEEN 'Customer#000000010' AND 'Customer#000000900'", "kv_findval": "c_mktsegment BETWEEN 'B' AND 'G'"}[name]
-
-    @_R.add(name, f"SELECT c_name AS key, c_mktsegment AS value FROM {source} WHERE {cond}")
-    def run(spark, sf_dir):
-        return table(spark, sf_dir, source).where(cond).select(F.col("c_name").alias("key"), F.col("c_mktsegment").alias("value"))
+@_R.add("kv_scan", "SELECT c_name AS key, c_mktsegment AS value FROM customer WHERE c_name BETWEEN 'Customer#000000010' AND 'Customer#000000900' ORDER BY 1")
+def kv_scan(spark, sf_dir):
+    return _pairs(spark, sf_dir).where("key BETWEEN 'Customer#000000010' AND 'Customer#000000900'").orderBy("key")
 
 
-_aliased("kv_scan")
-_aliased("kv_findval")
+@_R.add("kv_findval", "SELECT c_name AS key, c_mktsegment AS value FROM customer WHERE c_mktsegment BETWEEN 'B' AND 'G'")
+def kv_findval(spark, sf_dir):
+    return _pairs(spark, sf_dir).where("value BETWEEN 'B' AND 'G'")
 
 
 @_R.add("kv_get", "SELECT c_name AS key, c_mktsegment AS value FROM customer WHERE c_name = (SELECT min(c_name) FROM customer)")
@@ -106,6 +104,22 @@ def encode_int(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", sortable_int("c_custkey").alias("code"))
 
 
+@_R.add("encode_float_sortable", "SELECT c_custkey, lower(lpad(printf('%x', (CASE WHEN b >= 9223372036854775808 THEN 18446744073709551615 - b ELSE b + 9223372036854775808 END)::UBIGINT), 16, '0')) AS code FROM (SELECT c_custkey, c_acctbal::BIT::UBIGINT::HUGEINT AS b FROM customer)")
+def encode_float(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", sortable_float("c_acctbal").alias("code"))
+
+
+@_R.add("encode_text_sortable", "SELECT c_custkey, coalesce(c_mktsegment, '') AS code FROM customer")
+def encode_text(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", sortable_text("c_mktsegment").alias("code"))
+
+
+@_R.add("filter_positions")
+def filter_positions_query(spark, sf_dir):
+    """DuckDB has no CRC32; tests hold it against zlib."""
+    return table(spark, sf_dir, "customer").select("c_name", filter_positions("c_name").alias("positions"))
+
+
 @_R.add("encode_row", "SELECT c_custkey, length(c_custkey::VARCHAR) || ':' || c_custkey || length(c_name) || ':' || c_name AS row_text FROM customer")
 def encode_row(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", row_encoding("c_custkey", "c_name").alias("row_text"))

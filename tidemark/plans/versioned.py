@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import versions as V
+from ..session import Session
+from ..sources.store import Store, forget_at_exit, shared_folder
+from ..streaming.replication import applied, replicate
 from .base import HALF_SQL, LOG_SQL, Registry, half, last_event, table, version_log
 
 _R = Registry()
@@ -23,9 +28,11 @@ def mvcc_scan_range(spark, sf_dir):
     return V.snapshot(version_log(spark, sf_dir), half(spark, sf_dir), 3, 40)
 
 
-@_R.add("mvcc_read_at", f"SELECT key, value FROM ({_SNAPSHOT}) WHERE key = 7")
+@_R.add("mvcc_read_at", f"SELECT key, value FROM ({_SNAPSHOT}) WHERE key = (SELECT min(key) FROM ({_SNAPSHOT}))")
 def mvcc_read_at(spark, sf_dir):
-    return V.read_at(version_log(spark, sf_dir), 7, half(spark, sf_dir))
+    """The value of the smallest live key."""
+    log, at = version_log(spark, sf_dir), half(spark, sf_dir)
+    return V.read_at(log, V.snapshot(log, at).agg(F.min("key")).first()[0], at)
 
 
 _STAGED = f"SELECT user_id AS key, max(event_id) AS seq FROM events WHERE event_type = 'purchase' AND event_id >= (SELECT max(event_id) // 10 * 9 FROM events) GROUP BY user_id"
@@ -144,14 +151,30 @@ def dml_insert(spark, sf_dir):
     return o.unionByName(new.join(o.select("o_orderkey"), "o_orderkey", "left_anti").select(*ORDERS))
 
 
+def _loaded(spark, sf_dir):
+    """A session over a new store, with the orders as one commit."""
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", passing=True)
+    rows, txn = table(spark, sf_dir, "orders").select(*ORDERS), store.begin()
+    txn.change(op="create", table="orders", schema=rows.schema.jsonValue())
+    txn.stage("orders", rows.withColumn("_is_deleted", F.lit(False)))
+    txn.commit()
+    return Session(store)
+
+
 @_R.add("dml_update", f"SELECT o_orderkey, o_custkey, CASE WHEN o_totalprice > 100000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders")
 def dml_update(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select(*ORDERS).withColumn("o_orderstatus", F.when(F.col("o_totalprice") > 100000, "X").otherwise(F.col("o_orderstatus")))
+    """The table after an UPDATE that has been committed to a version log."""
+    session = _loaded(spark, sf_dir)
+    session.run("UPDATE orders SET o_orderstatus = 'X' WHERE o_totalprice > 100000")
+    return session.run(f"SELECT {_O} FROM orders").rows
 
 
 @_R.add("dml_delete", f"SELECT {_O} FROM orders WHERE NOT coalesce(o_orderstatus = 'F', FALSE)")
 def dml_delete(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select(*ORDERS).where("NOT coalesce(o_orderstatus = 'F', false)")
+    """The table after a DELETE, which appends tombstones."""
+    session = _loaded(spark, sf_dir)
+    session.run("DELETE FROM orders WHERE o_orderstatus = 'F'")
+    return session.run(f"SELECT {_O} FROM orders").rows
 
 
 @_R.add("dml_affected", "SELECT count(*)::BIGINT AS affected FROM orders WHERE o_totalprice > 100000")
@@ -159,10 +182,30 @@ def dml_affected(spark, sf_dir):
     return table(spark, sf_dir, "orders").where("o_totalprice > 100000").agg(F.count("*").alias("affected"))
 
 
-@_R.add("repl_catchup", f"SELECT event_id AS seq, user_id AS key, event_type AS val FROM events WHERE event_id > {HALF_SQL}")
+@_R.add("repl_catchup", f"SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'SET' END AS op, user_id::VARCHAR AS key, event_type AS val FROM events WHERE event_id > {HALF_SQL}")
 def repl_catchup(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where(F.col("event_id") > half(spark, sf_dir))
-    return e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("key"), F.col("event_type").alias("val"))
+    """What a replica has after a stream from where it stopped."""
+    root = f"{shared_folder(spark)}/replica-{uuid.uuid4().hex}"
+    forget_at_exit(spark, root)
+    e = table(spark, sf_dir, "events")
+    op = F.when(F.col("event_type") == "error", "DELETE").otherwise("SET")
+    e.select(F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("val")).write.parquet(f"{root}/log")
+    replicate(spark, f"{root}/log", f"{root}/replica", f"{root}/checkpoint", half(spark, sf_dir)).awaitTermination()
+    return applied(spark, f"{root}/replica")
+
+
+@_R.add("lock_check", "WITH held AS (SELECT l_orderkey AS txn, l_partkey AS key, CASE WHEN l_returnflag = 'R' THEN 'X' ELSE 'S' END AS mode FROM lineitem WHERE l_linenumber = 1), req AS (SELECT l_orderkey AS txn, l_partkey AS key, CASE WHEN l_quantity > 25 THEN 'X' ELSE 'S' END AS mode FROM lineitem WHERE l_linenumber = 2) SELECT r.txn, r.key, r.mode, NOT EXISTS (SELECT 1 FROM held h WHERE h.key = r.key AND h.txn <> r.txn AND (r.mode = 'X' OR h.mode = 'X')) AS granted FROM req r")
+def lock_check(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    locks = lambda n, x: lines.where(F.col("l_linenumber") == n).select(F.col("l_orderkey").alias("txn"), F.col("l_partkey").alias("key"), F.when(x, "X").otherwise("S").alias("mode"))
+    return V.locks(locks(2, F.col("l_quantity") > 25), locks(1, F.col("l_returnflag") == "R"))
+
+
+@_R.add("hlc_now", "SELECT event_id, user_id, j + greatest(max(floor(value)::BIGINT - j) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 0) AS hlc FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS j FROM events)")
+def hlc_now(spark, sf_dir):
+    """A clock for each user; the events' values stand for wall times that jump back and forth."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.floor("value").alias("wall"))
+    return V.hybrid_clock(e, "user_id", "event_id", "wall").drop("wall")
 
 
 @_R.add("events_since", f"SELECT event_id, event_type FROM events WHERE event_id > (SELECT max(event_id) // 4 * 3 FROM events)")

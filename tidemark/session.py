@@ -19,6 +19,7 @@ _FORMS = {
     "commit": r"COMMIT",
     "rollback": r"ROLLBACK",
     "show": r"SHOW\s+TABLES",
+    "indexes": r"SHOW\s+INDEXES(?:\s+(?:ON|FROM)\s+(\w+))?",
     "create_table": rf"CREATE\s+TABLE\s+{_NAME}\s*\((.*)\)",
     "drop_table": rf"DROP\s+TABLE\s+{_NAME}",
     "create_index": rf"CREATE\s+INDEX\s+{_NAME}\s+ON\s+{_NAME}\s*\(\s*{_NAME}\s*\)",
@@ -144,6 +145,13 @@ class Session:
         names = sorted(txn.catalog().tables)
         return Result("", self.spark.createDataFrame([(n,) for n in names], "table string"), len(names))
 
+    def _indexes(self, txn: Transaction, table: str | None) -> Result:
+        """Names, tables and columns of all indexes, or of a table's."""
+        if table is not None:
+            txn.table(table)
+        found = [(i, t, c) for i, (t, c) in sorted(txn.catalog().indexes.items()) if table in (None, t)]
+        return Result("", self.spark.createDataFrame(found, "index string, table string, column string"), len(found))
+
     def _create_table(self, txn: Transaction, name: str, body: str) -> Result:
         if name in txn.catalog().tables:
             raise StoreError(f"table {name} already exists")

@@ -8,6 +8,7 @@ not on every object store.
 from __future__ import annotations
 
 import json
+import tempfile
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -24,6 +25,27 @@ CLAIM_S = 10.0
 OWN = ["_txn", "_commit_ts", "_is_deleted"]
 
 
+#: Commits since the last compaction up to which their numbers are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_COMMITS = 100_000
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir. Only a local session may fall back to a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root
+
+
+def forget_at_exit(spark: SparkSession, root: str) -> None:
+    """Has a folder deleted when the driver's JVM ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 class StoreError(Exception):
     """A statement that can't be done; its text is the message."""
 
@@ -83,17 +105,20 @@ class Catalog:
 
 
 class Store:
-    """Tables under a folder that the driver and all executors share."""
+    """Tables under a folder that the driver and all executors share. A passing store goes when the driver ends."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, passing: bool = False):
         self.spark, self.root = spark, root.rstrip("/")
-        self._catalogs: list[Catalog] = [Catalog()]
+        #: The newest catalog, those of open snapshots, and the manifests that all others can be made from.
+        self._now, self._held, self._log = Catalog(), {}, []
         self.open_reads: dict[str, int] = {}
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._jvm = jvm
         self._fs.mkdirs(self._path(f"{self.root}/_commits"))
+        if passing:
+            forget_at_exit(spark, self.root)
 
     # ------------------------------------------------------------------------------------------- manifests
     def _manifest(self, ts: int):
@@ -101,18 +126,30 @@ class Store:
 
     def refresh(self) -> Catalog:
         """Reads manifests that have come since; each is read once."""
-        while self._fs.exists(self._manifest(self._catalogs[-1].ts + 1)):
-            ts = self._catalogs[-1].ts + 1
+        while self._fs.exists(self._manifest(self._now.ts + 1)):
+            ts = self._now.ts + 1
             stream = self._fs.open(self._manifest(ts))
             try:
                 text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
             finally:
                 stream.close()
-            self._catalogs.append(self._catalogs[-1].apply(ts, json.loads(text)))
-        return self._catalogs[-1]
+            self._log.append(json.loads(text))
+            self._now = self._now.apply(ts, self._log[-1])
+        return self._now
 
     def catalog(self, ts: int) -> Catalog:
-        return self._catalogs[ts]
+        """The catalog as of a commit. Those of open snapshots are kept, others are made again."""
+        if ts == self._now.ts:
+            found = self._now
+        elif ts in self._held:
+            found = self._held[ts]
+        else:
+            found = Catalog()
+            for k, manifest in enumerate(self._log[:ts]):
+                found = found.apply(k + 1, manifest)
+        open_ = set(self.open_reads.values())
+        self._held = {k: c for k, c in self._held.items() if k in open_} | ({ts: found} if ts in open_ else {})
+        return found
 
     def _create(self, ts: int, manifest: dict) -> bool:
         """Whether this writer has made commit ts; False if another has."""
@@ -159,7 +196,7 @@ class Store:
             return log.drop("_txn")
         # One row per commit since the last compaction.
         commits = self.spark.createDataFrame(named, "_txn string, _at long")
-        return log.join(F.broadcast(commits), "_txn", "left").withColumn("_commit_ts", F.coalesce("_commit_ts", "_at")).drop("_txn", "_at")
+        return log.join(F.broadcast(commits) if len(named) <= BROADCAST_COMMITS else commits, "_txn", "left").withColumn("_commit_ts", F.coalesce("_commit_ts", "_at")).drop("_txn", "_at")
 
     def snapshot(self, name: str, ts: int) -> DataFrame:
         """Live rows of a table as of commit ts."""
@@ -228,8 +265,8 @@ class Transaction:
     def __init__(self, store: Store, read_ts: int):
         self.store, self.read_ts, self.id = store, read_ts, uuid.uuid4().hex
         self.ops: list[dict] = []
-        self._own = store.catalog(read_ts)
         store.open_reads[self.id] = read_ts
+        self._own = store.catalog(read_ts)
 
     def catalog(self) -> Catalog:
         """The snapshot's catalog with own changes."""
