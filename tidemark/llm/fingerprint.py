@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import range_of
 from .shared import Workspace, map_batches, pieces, table
 
 #: Words of a cell: a paragraph is a line, cut into runs of so many words.
@@ -179,18 +179,6 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _compare(ids, texts)
 
 
-def range_of(key: Column, cuts: list, literal: Callable[[object], Column]) -> Column:
-    """How many of the ascending cuts are at most key. Cuts stand in blocks, so a row looks at twice their square root."""
-    if not cuts:
-        return F.lit(0)
-    width = math.isqrt(len(cuts)) + 1
-    blocks = [cuts[i : i + width] for i in range(0, len(cuts), width)]
-    count = lambda array: F.size(F.filter(array, lambda x: x <= key))
-    before = count(F.array(*[literal(b[0]) for b in blocks]))
-    within = F.element_at(F.array(*[F.array(*map(literal, b)) for b in blocks]), F.greatest(before, F.lit(1)))
-    return F.when(before == 0, 0).otherwise((before - 1) * width + count(within))
-
-
 def fingerprint_versions(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """NAMES for each row of docs; near_edited and near_next compare a text's digests with those of its edited text
     and of the next document.
@@ -215,7 +203,7 @@ def fingerprint_versions(ws: Workspace, docs: DataFrame, id_col: str = "doc_id",
     drawn.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.hash, r.place))
     cuts = [drawn[i * len(drawn) // ranges] for i in range(1, ranges)] if len(drawn) >= ranges else drawn
     literal = lambda r: F.struct(*[F.lit(r[c]).cast("long").alias(c) for c in key])
-    placed = keyed.withColumn("key", F.struct(*key)).withColumn("part", range_of(F.struct(*key), cuts, literal))
+    placed = keyed.withColumn("key", F.struct(*key)).withColumn("part", range_of(F.struct(*key), [literal(c) for c in cuts]))
     # One row a range: its first key, for the range before it.
     firsts = placed.groupBy("part").agg(F.min("key").alias("first")).orderBy("part").collect()
     plan = [(before.part, r.first.doc_id, r.first.hash) for r, before in zip(firsts, [firsts[-1], *firsts], strict=False)]

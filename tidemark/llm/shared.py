@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_folder
+
 
 #: Bytes that Spark hands to Python at once. Such batches lie outside of the heap, in several copies on both sides.
 ARROW_BYTES = 2 << 20
@@ -52,18 +53,6 @@ def give_back() -> None:
         trim(0)
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only a local session may fall back to a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
 class Workspace:
     """Tables written under the shared folder: they cut lineage and survive the loss of an executor.
 
@@ -71,7 +60,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_root(spark)}/tidemark-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
         self._n = 0
         path = self._path(self.root)
         self._fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
