@@ -95,12 +95,14 @@ def draw(ws: Workspace, docs: DataFrame, columns: list[str], seed: str = "mix")
     digits = F.when(F.col("n") > most, F.ceil(F.log(16.0, F.col("n") / most) - 1e-9)).otherwise(0).cast("int")
     # So many leading digits are looked at as there are; 32 digits tell any two documents apart.
     kinds = leveled(slim).groupBy("_src", "_level", "_cls").agg(F.count("*").alias("n"))
-    plan = ws.hinted(ws.save(kinds.select("_src", "_level", "_cls", F.least(digits, F.lit(32)).alias("_digits")), "plan"), 64)
+    sooner = Window.partitionBy("_src", "_level").orderBy("_cls").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("n").over(sooner), F.lit(0))
+    plan = ws.hinted(ws.save(kinds.select("_src", "_level", "_cls", F.least(digits, F.lit(32)).alias("_digits"), first.alias("_first")), "plan"), 64)
     by = ["_src", "_level", "_cls", "_bucket"]
     bucketed = lambda df: leveled(df).join(plan, ["_src", "_level", "_cls"]).withColumn("_bucket", F.expr("left(_md5, _digits)"))
-    counts = bucketed(slim).groupBy(*by).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_src", "_level").orderBy("_cls", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = ws.hinted(ws.save(counts.select(*by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")), "bases"), 96)
+    counts = bucketed(slim).groupBy(*by, "_first").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_src", "_level", "_cls").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ws.hinted(ws.save(counts.select(*by, (F.col("_first") + F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_base")), "bases"), 96)
     within = Window.partitionBy(*by).orderBy("_md5", "size", "doc_id")
     ranked = lambda df: df.withColumn("_k", F.row_number().over(within)).join(bases, by).withColumn("_rank", F.col("_k") + F.col("_base"))
 
