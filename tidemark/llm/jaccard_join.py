@@ -476,6 +476,7 @@ def join_groups(ws: Workspace, docs: DataFrame, n: int, percent: int, id_col: st
         full = members.join(side("x"), "x_name").join(_at(label, "x"), "x", "left").withColumn("x_c", F.coalesce("x_c", "x")).drop("x_name")
         full = ws.save(full, "members")
         blocks = full.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+        blocks = ws.hinted(ws.save(blocks, "blocks"))
         dealt = full.join(blocks, "sig", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         dealt = dealt.withColumn("x_block", F.pmod(F.xxhash64("x"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         left = dealt.withColumnRenamed("other", "y_block").drop("blocks")
