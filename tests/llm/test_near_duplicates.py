@@ -104,6 +104,23 @@ def test_a_large_group_of_near_copies(spark):
     assert got == roots(sets, linked(sets, 90))
 
 
+def test_a_common_signature_in_blocks(spark, monkeypatch):
+    """Dissimilar texts that share a long passage, with near copies among them: blocks of a few sets lose no link."""
+    monkeypatch.setattr(J, "BLOCK", 8)
+    r = random.Random(12)
+    shared = [f"p{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        own = [f"q{r.randint(0, 9999)}" for _ in range(60)]
+        rows.append((len(rows), " ".join(shared + own)))
+        if i % 4 == 0:
+            own[r.randrange(60)] = "changed"
+            rows.append((len(rows), " ".join(shared + own)))
+    got = {x.doc_id: x.component_id for x in J.join_groups(Workspace(spark), spark.createDataFrame(rows, DOCS).repartition(4), 3, 90).collect()}
+    sets = {i: word_sets(t, 3) for i, t in rows}
+    assert got == roots(sets, linked(sets, 90)) and len(set(got.values())) == 60
+
+
 def test_keep_first(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(4, text, "x"), (2, text.replace("w30", "zz"), "y"), (7, "quite another text of some words", "z"), (9, None, "n"), (10, "", "n"), (None, "keyless words", "k"), (7, "quite another text of some words", "z")]
