@@ -115,6 +115,22 @@ def test_replay_over_ranges(spark, monkeypatch):
     assert pairs(V.replay(log.limit(0))) == {}
 
 
+def test_replay_reads_a_range_once(spark, monkeypatch):
+    """No window shrinks from one row to the next, which would cost the square of a range."""
+    from pyspark.sql import functions as F
+
+    at, last = F.col("id") % 10, 49_990
+    op = F.when(at == 0, "BEGIN").when((at == 9) & (F.col("id") < last), "COMMIT").when(F.col("id") % 7 == 0, "DELETE").otherwise("SET")
+    log = spark.range(50_000).select(F.col("id").alias("seq"), op.alias("op"), (F.col("id") % 101).cast("string").alias("key"), F.col("id").cast("string").alias("val"))
+    state = {str(i % 101): None if i % 7 == 0 else str(i) for i in range(last) if i % 10 not in (0, 9)}
+    want = {k: v for k, v in state.items() if v is not None}
+    for rows in (V.RANGE_ROWS, 9_000):
+        monkeypatch.setattr(V, "RANGE_ROWS", rows)
+        out = V.replay(log)
+        assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+        assert pairs(out) == want
+
+
 def test_sparse_index_over_ranges(spark, monkeypatch):
     import random
 

@@ -105,12 +105,15 @@ def replay(entries: DataFrame) -> DataFrame:
         # One row a range, over the few columns that reach into the others.
         w = Window.orderBy("_range")
         ends = ends.withColumn("_prior", F.last("last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-        ends = ends.withColumn("_later", F.first("first", True).over(w.rowsBetween(1, Window.unboundedFollowing))).select("_range", "_prior", "_later")
+        back = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.withColumn("_later", F.last("first", True).over(back)).select("_range", "_prior", "_later")
         dealt = dealt.join(F.broadcast(ends) if ranges <= BROADCAST_ROWS else ends, "_range")
         prior, later = F.col("_prior"), F.col("_later")
-    at = Window.partitionBy("_range").orderBy("seq")
-    seen = dealt.withColumn("_before", F.coalesce(F.last(frame, True).over(at.rowsBetween(Window.unboundedPreceding, -1)), prior))
-    seen = seen.withColumn("_after", F.coalesce(F.first(frame, True).over(at.rowsBetween(1, Window.unboundedFollowing)), later))
+    at = Window.partitionBy("_range")
+    # Both windows begin at an end and grow: one that shrinks is read anew for each row, so costs the square of a range.
+    near = lambda *order: F.last(frame, True).over(at.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    seen = dealt.withColumn("_before", F.coalesce(near("seq"), prior))
+    seen = seen.withColumn("_after", F.coalesce(near(F.desc("seq")), later))
     counted = seen.where(F.col("op").isin("SET", "DELETE") & (~F.col("_before").eqNullSafe("BEGIN") | F.col("_after").eqNullSafe("COMMIT")))
     last = counted.groupBy("key").agg(F.max(F.struct("seq", "op", "val")).alias("r"))
     return last.where("r.op = 'SET'").select("key", F.col("r.val").alias("value"))
