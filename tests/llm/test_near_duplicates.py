@@ -104,6 +104,50 @@ def test_a_large_group_of_near_copies(spark):
     assert got == roots(sets, linked(sets, 90))
 
 
+def made(spark, since, node):
+    """Rows that operators matching node have made in executions after the one numbered since; the last number."""
+    store, total, last = spark._jsparkSession.sharedState().statusStore(), 0, since
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    executions = store.executionsList()
+    for k in (executions.apply(i).executionId() for i in range(executions.size())):
+        last = max(last, k)
+        if k <= since:
+            continue
+        values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+        for x in (nodes.apply(i) for i in range(nodes.size())):
+            if re.search(node, x.desc()):
+                metrics = [x.metrics().apply(i) for i in range(x.metrics().size())]
+                total += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId()))
+    return total, last
+
+
+def test_candidates_are_looked_up_once(spark, monkeypatch):
+    """Candidates of a large group grow by far less than the square of its size, and only the near ones pass the join with labels, once."""
+    save, near = Workspace.save, []
+
+    def counted(ws, df, name):
+        out = save(ws, df, name)
+        if name == "pairs":
+            near.append(out.where("near").count())
+        return out
+
+    monkeypatch.setattr(Workspace, "save", counted)
+    found = []
+    for size in (150, 600):
+        r = random.Random(8)
+        base = [f"w{r.getrandbits(30)}" for _ in range(120)]
+        rows = [(i, " ".join(w if r.random() > 0.02 else f"x{r.getrandbits(30)}" for w in base)) for i in range(size)]
+        # Texts that share a passage, and are candidates that fail.
+        rows += [(size + i, " ".join([f"p{k}" for k in range(40)] + [f"y{r.getrandbits(30)}" for _ in range(80)])) for i in range(200)]
+        _, since = made(spark, -1, "^$")
+        docs = spark.createDataFrame(rows, DOCS).repartition(4)
+        assert J.join_groups(Workspace(spark), docs, 5, 80).count() == len(rows)
+        looked, _ = made(spark, since, r"^\w+Join \[b#\d+L?\], \[b#\d+L?\], LeftOuter")
+        found.append((near[-1], looked))
+    (few, _), (many, _) = found
+    assert few and many < 10 * few and all(0 < looked <= 1.5 * n for n, looked in found)
+
+
 def test_a_common_signature_in_blocks(spark, monkeypatch):
     """Dissimilar texts that share a long passage, with near copies among them: blocks of a few sets lose no link."""
     monkeypatch.setattr(J, "BLOCK", 8)

@@ -440,26 +440,34 @@ def join_groups(ws: Workspace, docs: DataFrame, n: int, percent: int, id_col: st
         return found
 
     def settle(close: DataFrame, label: DataFrame) -> DataFrame:
-        """Components after all pairs that join two of them have been compared, as far as they're similar.
+        """Components after all pairs of close have been compared that join two of them, as far as they're similar.
 
-        A large group has far more pairs than it takes to join it. So twice, each node tries a few of its pairs that
-        lead out of its component; then all pairs that still do are tried.
+        All of close lead out of components. A large group has far more pairs than it takes to join it. So twice, each node
+        tries a few of its pairs that lead out of its component; then all pairs that still do are tried. Pairs that a round has
+        found within a component aren't read again.
         """
         blobs = texts_of(close)
         blob = lambda c: blobs.select(F.col("node").alias(c), F.col("blob").alias(f"{c}_blob"))
+        out = close
         for few in (True, True, False):
-            out = close.join(_at(label, "a"), "a", "left").join(_at(label, "b"), "b", "left").where("coalesce(a_c, a) <> coalesce(b_c, b)").select("a", "b")
-            tried = ws.save(_few(out) if few else out, "compared")
-            if tried.isEmpty():
-                ws.drop(tried)
+            if out.isEmpty():
                 break
+            tried = ws.save(_few(out), "compared") if few else out
             both = tried.join(blob("b"), "b").join(blob("a"), "a").select("a", "b", "a_blob", "b_blob")
             good = ws.save(map_batches(both, _verify(n, percent), "a long, b long, good boolean").where("good").select("a", "b"), "links")
             if not good.isEmpty():
                 label = components(ws, label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(good))
-            ws.drop(tried)
+            if few:
+                ws.drop(tried)
+                rest = out.join(_at(label, "a"), "a", "left").join(_at(label, "b"), "b", "left").where("coalesce(a_c, a) <> coalesce(b_c, b)")
+                rest = ws.save(rest.select("a", "b"), "out")
+                if out is not close:
+                    ws.drop(out)
+                out = rest
             ws.drop(good)
             ws.tidy()
+        if out is not close:
+            ws.drop(out)
         ws.drop(blobs)
         return label
 
@@ -467,9 +475,10 @@ def join_groups(ws: Workspace, docs: DataFrame, n: int, percent: int, id_col: st
     met_pairs = ws.save(candidates.join(side("b"), "b_name").join(side("a"), "a_name").select("a_name", "b_name", "a", "b", near), "pairs")
     ws.drop(candidates)
     label = settle(met_pairs.where("near").select("a", "b"), spark.createDataFrame([], "node long, component long"))
-    apart = met_pairs.join(_at(label, "a"), "a", "left").join(_at(label, "b"), "b", "left").where("coalesce(a_c, a) <> coalesce(b_c, b)").select("a_name", "b_name")
+    # Only pairs within a component come out of these joins; a node without a label is alone in its component.
+    joined = met_pairs.join(_at(label, "a"), "a").join(_at(label, "b"), "b").where("a_c = b_c").select("a_name", "b_name")
     # Signatures of few sets have no other pairs, and are null here.
-    unsettled = ws.save(tried.where("sig is not null").join(apart, ["a_name", "b_name"]).select("sig").distinct(), "open")
+    unsettled = ws.save(tried.where("sig is not null").join(joined, ["a_name", "b_name"], "left_anti").select("sig").distinct(), "open")
     if not unsettled.isEmpty():
         ends = tried.join(unsettled, "sig")
         members = ends.select("sig", F.col("a_name").alias("x_name")).union(ends.select("sig", F.col("b_name").alias("x_name"))).distinct()
