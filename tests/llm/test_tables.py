@@ -303,3 +303,19 @@ def test_peeling_recovers_differences():
     b = [np.concatenate([x[m:], r.integers(0, 2**63, m, dtype=np.uint64)]) for x, m in sides]
     only_a, only_b = I.differences(a, b)
     assert only_a.tolist() == only_b.tolist() == [m for _, m in sides]
+
+
+def test_fingerprints_in_ranges_by_size(spark, monkeypatch):
+    """Small texts make few tasks, and so few files, however many shuffle partitions there are; large ones more."""
+    docs = spark.createDataFrame([(i, f"text {i} " * 20) for i in range(400)], "doc_id long, text string").repartition(5)
+    usual, least = spark.conf.get("spark.sql.shuffle.partitions"), I.RANGES * spark.sparkContext.defaultParallelism
+    want = sorted(map(tuple, I.fingerprint_versions(Workspace(spark), docs).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    try:
+        small = I.fingerprint_versions(Workspace(spark), docs)
+        assert small.rdd.getNumPartitions() <= least and sorted(map(tuple, small.collect())) == want
+        monkeypatch.setattr(I, "RANGE_CHARS", 1000)
+        large = I.fingerprint_versions(Workspace(spark), docs)
+        assert least < large.rdd.getNumPartitions() and sorted(map(tuple, large.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)

@@ -20,9 +20,9 @@ CELL_WORDS = 8
 #: Cells of the sketch that is the fingerprint, hashes of a digest, and by how much a failed sketch grows.
 SKETCH, HASHES, GROWTH = 24, 3, 4
 #: Characters that a task compares at once, and characters that a range of ids aims at.
-BATCH_CHARS, RANGE_CHARS = 1 << 18, 1 << 24
-#: Ranges for each shuffle partition at least, ranges at most, and rows drawn for each range to cut by.
-RANGES, MOST_RANGES, DRAWN = 2, 1 << 18, 16
+BATCH_CHARS, RANGE_CHARS = 1 << 18, 1 << 23
+#: Ranges for each core at least, ranges at most, and rows drawn for each range to cut by.
+RANGES, MOST_RANGES, DRAWN = 4, 1 << 18, 16
 _U = np.uint64
 
 
@@ -195,7 +195,9 @@ def fingerprint_versions(ws: Workspace, docs: DataFrame, id_col: str = "doc_id",
     total = rows.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
     if not total.n:
         return ws.spark.createDataFrame([], SCHEMA)
-    ranges = int(min(MOST_RANGES, max(RANGES * int(ws.spark.conf.get("spark.sql.shuffle.partitions")), total.chars / RANGE_CHARS)))
+    # By the texts and the cores, not by the number of shuffle partitions: each range is a task and mostly a file, and on local
+    # disks Hadoop starts a process for each file that it makes.
+    ranges = int(min(MOST_RANGES, max(RANGES * ws.spark.sparkContext.defaultParallelism, total.chars / RANGE_CHARS)))
     key = ["doc_id", "hash", "place"]
     keyed = rows.withColumn("hash", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
     scale = 1 << 40
